@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanfold.llm import chat, contamination, divergence, licenses, mixing, packing, quality, secrets_scan, simhash
+from spanfold.llm import chat, contamination, divergence, licenses, line_dedup, mixing, packing, quality, secrets_scan, simhash
 from spanfold.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op5_divergence": op5_divergence,
-    "op6_packing": op6_packing, "op7_quality": op7_quality, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets,
+    "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets,
 }
