@@ -25,9 +25,10 @@ N_COMMON = 12
 CLASSES = {"upper": "[A-Z]+", "digit": "[0-9]+", "space": SPACE, "stop": "[.,;:!?'\"()-]+", "symbol": "[#*$%&|<>]+", "other": r"[^\x00-\x7F]+"}
 SYMBOL = "[#*$%&|<>]"
 
-MOST_CLASS_DISTANCE = 0.30
-MOST_WORD_DISTANCE = 0.60
-LEAST_CHARS = 200
+# Of accepted labelled documents long enough, the farthest lie at about 0.22 in both distances.
+MOST_CLASS_DISTANCE = 0.28
+MOST_WORD_DISTANCE = 0.25
+LEAST_CHARS = 500
 LEAST_WORDS = 100
 
 

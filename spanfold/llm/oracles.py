@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from spanfold.llm import divergence as _d
+from spanfold.llm import secrets_scan as _s
+
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
@@ -41,4 +44,79 @@ k AS (SELECT place.doc_id AS doc_id, list(place.line_no ORDER BY place.line_no)
 SELECT d.doc_id, CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_LINE}))) AS BIGINT) AS n_lines, CAST(coalesce(len(kept_lines), 0) AS BIGINT) AS n_kept, coalesce(kept_lines, []) AS kept_lines
 FROM documents d LEFT JOIN k ON d.doc_id = k.doc_id"""
 
-SQL = {"op1_mixing": _OP1, "op3_decontamination": _OP3, "op8_lines": _OP8}
+_CONTROL = r"'(<</SYS>>|<<SYS>>|\[/INST\]|\[INST\]|</s>|<s>)'"
+
+
+def _escaped(column: str) -> str:
+    """Length of an escaped text: a character more for each backslash and each control string."""
+    return f"length({column}) + len(regexp_extract_all({column}, '\\\\')) + len(regexp_extract_all({column}, {_CONTROL}))"
+
+
+_SAID = "'</s>[INST] ok [/INST]'"
+_OP4 = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', {_SAID}), (-1, 1, 'assistant', {_SAID})),
+a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(21 + {_escaped("role")} + {_escaped("text")}) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
+
+
+def _text_sql(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _distance(a: str, b: str, n: int) -> str:
+    """Jensen-Shannon distance of the counts in columns a0.. and b0.., null when one side is empty."""
+    totals = [f"CAST({' + '.join(f'{c}{i}' for i in range(n))} AS DOUBLE)" for c in (a, b)]
+
+    def bits(p: str, q: str) -> str:
+        return f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END"
+
+    shares = [(f"({a}{i} / {totals[0]})", f"({b}{i} / {totals[1]})") for i in range(n)]
+    terms = " + ".join(f"({bits(p, q)} + {bits(q, p)}) / 2" for p, q in shares)
+    return f"CASE WHEN {totals[0]} > 0 AND {totals[1]} > 0 THEN sqrt(greatest({terms}, 0)) END"
+
+
+_N = len(_d.CLASSES) + 1
+_LEFT = [f"length(text) - length(regexp_replace(text, {_text_sql(p)}, '', 'g')) AS c{i}" for i, p in enumerate(_d.CLASSES.values())]
+_PLACE = "CASE lang " + " ".join(f"WHEN '{k}' THEN coalesce(list_position([{', '.join(_text_sql(w) for w in words)}], lower(x)), 0)" for k, words in _d.COMMON.items()) + " ELSE 0 END"
+_OP5 = f"""WITH d AS (SELECT doc_id, CASE WHEN lang IN ({', '.join(map(_text_sql, _d.COMMON))}) THEN lang ELSE '-' END AS lang, coalesce(text, '') AS text FROM documents),
+t AS (SELECT *, regexp_extract_all(text, {_SPACED}) AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_LINE})) AS lines FROM d),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM t, unnest(range(1, len(w) - 1)) AS u(i)),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), unnest([i, i + 1, i + 2]) AS u(p) GROUP BY doc_id),
+m AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '{_d.SYMBOL}')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) AS n_chars, {', '.join(_LEFT)}, list_transform(w, lambda x: {_PLACE}) AS places
+  FROM t LEFT JOIN r USING (doc_id)),
+h AS (SELECT * EXCLUDE (places), n_chars - ({' + '.join(f'c{i}' for i in range(_N - 1))}) AS c{_N - 1}, {', '.join(f'len(list_filter(places, lambda x: x = {k})) AS w{k}' for k in range(_d.N_COMMON + 1))},
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+s AS (SELECT lang, {', '.join(f'sum(c{i}) AS rc{i}' for i in range(_N))}, {', '.join(f'sum(w{i}) AS rw{i}' for i in range(_d.N_COMMON + 1))} FROM h WHERE NOT base_failed GROUP BY lang),
+j AS (SELECT h.*, {_distance('c', 'rc', _N)} AS class_distance, CASE WHEN lang <> '-' THEN {_distance('w', 'rw', _d.N_COMMON + 1)} END AS word_distance FROM h LEFT JOIN s USING (lang))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(n_chars >= {_d.LEAST_CHARS} AND class_distance > {_d.MOST_CLASS_DISTANCE}
+  OR n_words >= {_d.LEAST_WORDS} AND word_distance > {_d.MOST_WORD_DISTANCE}, false) AS kept FROM j"""
+
+
+def _spans(kind: int, pattern: str, keep: str) -> str:
+    """Matches of a pattern (x) as rows, with offsets from the lengths of matches and gaps."""
+    p = _text_sql(pattern)
+    return f"""SELECT doc_id, {kind} AS kind, stop - length(x) AS start, stop
+  FROM (SELECT doc_id, x, CAST(sum(length(gap) + length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop
+    FROM (SELECT doc_id, unnest(xs) AS x, unnest(list_slice(gaps, 1, len(xs))) AS gap, unnest(range(1, len(xs) + 1)) AS i
+      FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS xs, string_split_regex(text, {p}) AS gaps FROM d))) WHERE {keep}"""
+
+
+_KINDS = "[" + ", ".join(map(_text_sql, _s.KINDS)) + "]"
+_WEAK = [
+    _spans(3, "[A-Za-z0-9]+", "length(x) BETWEEN 16 AND 32 AND regexp_full_match(x, '[A-Z0-9]+') AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]')"),
+    _spans(4, "[A-Za-z0-9+/]+={0,2}", "regexp_full_match(x, '[A-Za-z0-9+/]{32,}={0,2}') AND regexp_matches(x, '[0-9]')"),
+    _spans(5, _s.ENDPOINT, "true"),
+]
+_STRONG = [_spans(0, _s.ASSIGN, f"length(regexp_extract(x, {_text_sql(_s.ASSIGN)}, 2)) >= 6"), _spans(1, _s.ACCESS, "true"), _spans(2, _s.HEX, "true")]
+_ALL = " UNION ALL ".join(f"({x})" for x in _STRONG + _WEAK)
+_OP10 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+a AS ({_ALL}),
+n AS (SELECT w.doc_id, w.kind, w.start, w.stop FROM a w JOIN a p ON w.doc_id = p.doc_id AND w.kind >= 3 AND (w.kind <> p.kind OR w.start <> p.start) AND p.start <= w.stop + {_s.SCOPE} AND p.stop >= w.start - {_s.SCOPE}
+  GROUP BY ALL HAVING bool_or((p.start >= w.stop OR p.stop <= w.start) AND CASE w.kind WHEN 3 THEN p.kind IN (0, 2, 4) WHEN 4 THEN p.kind IN (1, 3, 5) ELSE p.kind <> 5 END)
+  AND NOT bool_or(p.kind < 3 AND NOT (p.start >= w.stop OR p.stop <= w.start))),
+e AS (SELECT doc_id, kind, start, {_KINDS}[kind + 1] || ':' || start || ':' || stop AS s FROM (SELECT * FROM a WHERE kind < 3 UNION ALL SELECT * FROM n)),
+g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(s, ',' ORDER BY start, kind) AS spans FROM e GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+SQL = {"op1_mixing": _OP1, "op3_decontamination": _OP3, "op4_chat": _OP4, "op5_divergence": _OP5, "op8_lines": _OP8, "op10_secrets": _OP10}
