@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,3 +61,15 @@ def checkpoint(frame: DataFrame) -> DataFrame:
         folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanfold-checkpoints-"))
     return frame.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """A new path in the folder that the cluster shares, or in a temporary one where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanfold-")
+    return f"{folder.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store its path names."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

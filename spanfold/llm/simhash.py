@@ -24,6 +24,8 @@ SEED = 42
 SAMPLE = 16_384
 #: Distinct fingerprints that one shard is meant to own.
 SHARD = 8_192
+#: A fingerprint is hot if its rows are more than one in so many; there are fewer of them than that.
+HOT_SHARE = 1_000
 _LEAF = 96
 _CELLS = 4_000_000
 
@@ -37,7 +39,7 @@ def fingerprint(text: bytes | None, words_in_shingle: int = 3) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(words_in_shingle))))
-    digest, ones, total, block = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0, []
+    digest, ones, total = xxhash.xxh64_intdigest, np.zeros(64, np.int64), 0
     hashes = [digest(s, SEED) for s in shingles]
     for at in range(0, len(hashes), 65_536):
         block = np.array(hashes[at : at + 65_536], dtype=">u8").view(np.uint8).reshape(-1, 8)
@@ -273,13 +275,20 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3,
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"))
     rows = checkpoint(rows.mapInArrow(_fingerprints(words_in_shingle), "doc_id long, fp long"))
-    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     nodes = components(link_fingerprints(distinct, radius, shard_size))
     linked = checkpoint(nodes.join(distinct, nodes.node == distinct.fp).select("fp", "root", "first"))
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     linked = linked.join(least, "root").select("fp", "least")
-    named = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = distinct.join(linked, "fp", "left").select("fp", "copies", F.coalesce("least", "first").alias("component_id"))
+    # Fingerprints that hold more than a thousandth of all rows are fewer than a thousand: their
+    # rows are named by broadcast, where they are, and only the others are shuffled.
+    total = distinct.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    named = checkpoint(named.withColumn("hot", F.col("copies") * HOT_SHARE > total))
+    hot = F.broadcast(named.where("hot").select("fp", "component_id"))
+    cold = rows.join(hot.select("fp"), "fp", "left_anti").join(named.where("not hot").select("fp", "component_id"), "fp")
+    found = rows.join(hot, "fp").unionByName(cold)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
