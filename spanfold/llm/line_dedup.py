@@ -3,7 +3,8 @@
 Two lines are at most one edit apart only if they agree once a character is deleted from one or
 both.  Emitting every deletion of every line would multiply the corpus, so deletions go from coarse
 to fine: a line first deletes a whole half, survivors that share what is left with another line
-delete an eighth, and only within an eighth that still matches are single characters deleted.
+delete an eighth, then eight characters, and only within such a block that still matches are
+single characters deleted.
 Equal hashed variants are joined, the edit distance is verified, and the earliest line stays.
 """
 
@@ -68,18 +69,28 @@ def _shared(keys: DataFrame) -> DataFrame:
     return checkpoint(found.where("lo <> hi").select("key"))
 
 
+def _still_shared(rows: DataFrame) -> DataFrame:
+    """The rows whose key stands under another line too; few enough keys are broadcast."""
+    return rows.join(_sized(_shared(rows.select("key", "h1"))), "key", "left_semi")
+
+
 def near_lines(distinct: DataFrame, lines: DataFrame) -> DataFrame:
     """(h1, h2) of distinct lines that are one edit from an earlier one."""
     halves = distinct.select("h1", "h2", "place", F.explode(F.array_compact(F.array("k0", "k1", "k2", "k3"))).alias("key"))
-    some = halves.join(_sized(_shared(halves.select("key", "h1"))), "key", "left_semi").select("h1", "h2", "place").distinct()
-    some = checkpoint(some)
+    some = checkpoint(_still_shared(halves).select("h1", "h2", "place").distinct())
     texts = checkpoint(lines.select("h1", "h2", "place", "line", "n").join(_sized(some), ["h1", "h2", "place"], "left_semi"))
+    # An eighth of the line deleted: 2 characters for each class.
     eighths = texts.select("h1", "h2", "place", "line", "n", F.explode(_block_keys(8)).alias("b")).select("*", "b.*").drop("b")
-    near = eighths.join(_sized(_shared(eighths.select("key", "h1"))), "key", "left_semi")
-    near = checkpoint(near.select("h1", "h2", "place", "line", "n", "class", "block").distinct())
-    unit = F.col("class") * (_CLASS // 8)
-    spots = F.sequence(unit * F.col("block") + 1, F.col("n") - unit * (7 - F.col("block")))
-    cut = near.select("h1", "h2", "place", "line", F.explode(spots).alias("at"))
+    eighths = checkpoint(_still_shared(eighths).drop("key"))
+    # Then blocks of 8 characters within that eighth, and what the length leaves over.
+    unit, blocks = 2 * F.col("class"), 2 * F.col("class")
+    last = F.when(F.col("block") == 7, blocks - 1).otherwise(F.floor((unit * (F.col("block") + 1) - 1) / 8).cast("int"))
+    fine = eighths.withColumn("j", F.explode(F.sequence(F.floor(unit * F.col("block") / 8).cast("int"), last)))
+    fine = fine.withColumns({"before": 8 * F.col("j"), "after": 8 * (blocks - 1 - F.col("j"))})
+    fine = fine.withColumn("key", F.xxhash64("class", "j", F.left("line", F.col("before")), F.right("line", F.col("after"))))
+    near = checkpoint(_still_shared(fine).select("h1", "h2", "place", "line", "n", "before", "after"))
+    # Single characters within such a block.
+    cut = near.select("h1", "h2", "place", "line", F.explode(F.sequence(F.col("before") + 1, F.col("n") - F.col("after"))).alias("at"))
     left, right = F.left("line", F.col("at") - 1), F.substring("line", F.col("at") + 1, F.length("line"))
     cut = cut.select("h1", "h2", "place", "at", F.xxhash64(F.concat(left, right)).alias("variant")).distinct()
     # Deleted at one place and equal: a substitution.  All such lines are one edit from the earliest.
