@@ -40,9 +40,12 @@ def _let(value: F.Column, body) -> F.Column:
 def _repeat_words(words: F.Column) -> F.Column:
     """Words inside 3-word windows that occur at least twice.
 
-    Windows are sorted by hash, text and place; equal neighbours are repeats.  Their places, in
-    order, cover three words each less their overlap.
+    If no two windows have the same hash there are none.  Else windows are sorted by hash, text and
+    place; equal neighbours are repeats.  Their places, in order, cover three words each less their
+    overlap.
     """
+    places = F.sequence(F.lit(0), F.size(words) - 3)
+
     def gram(i: F.Column) -> F.Column:
         text = F.concat_ws(" ", words[i], words[i + 1], words[i + 2])
         return F.struct(F.xxhash64(text).alias("h"), text.alias("g"), i.alias("i"))
@@ -52,7 +55,7 @@ def _repeat_words(words: F.Column) -> F.Column:
             return (s[a]["h"] == s[b]["h"]) & (s[a]["g"] == s[b]["g"])
 
         last = F.size(s) - 1
-        places = F.sort_array(F.transform(
+        repeats = F.sort_array(F.transform(
             F.filter(F.sequence(F.lit(0), last), lambda j: ((j > 0) & same(F.greatest(j - 1, F.lit(0)), j)) | ((j < last) & same(j, F.least(j + 1, last)))),
             lambda j: s[j]["i"],
         ))
@@ -60,10 +63,11 @@ def _repeat_words(words: F.Column) -> F.Column:
             p, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("end")),
             lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i + 3 - a["end"])).alias("n"), (i + 3).alias("end")), lambda a: a["n"],
         )
-        return _let(places, lambda p: F.when(F.size(p) > 0, total(p)).otherwise(0))
+        return _let(repeats, lambda p: F.when(F.size(p) > 0, total(p)).otherwise(0))
 
-    grams = F.transform(F.sequence(F.lit(0), F.size(words) - 3), gram)
-    found = _let(F.sort_array(grams), covered)
+    hashes = F.transform(places, lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]))
+    some = _let(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    found = F.when(some, _let(F.sort_array(F.transform(places, gram)), covered)).otherwise(0)
     return F.when(F.size(words) >= 3, found).otherwise(0).cast("long")
 
 
@@ -71,31 +75,42 @@ def measure(docs: DataFrame) -> DataFrame:
     """doc_id, language, base counts and both histograms of every row, in one pass over the texts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lang = F.when(F.col("lang").isin(list(COMMON)), F.col("lang")).otherwise("-")
-    words = F.filter(F.split("text", SPACE, -1), lambda w: w != "")
+    words = F.array_remove(F.split("text", SPACE, -1), "")
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    left = {name: F.length(F.regexp_replace("text", pattern, "")) for name, pattern in CLASSES.items()}
-    common = F.lit(None).cast("array<string>")
-    for key, chosen in COMMON.items():
-        common = F.when(F.col("lang") == key, F.array(*map(F.lit, chosen))).otherwise(common)
+
+    def common(k: int) -> F.Column:
+        """The language's k-th common word between two spaces; null where it has none."""
+        found = F.lit(None).cast("string")
+        for key, chosen in COMMON.items():
+            found = F.when(F.col("lang") == key, f" {chosen[k]} ").otherwise(found)
+        return found
 
     def of_words(w: F.Column) -> F.Column:
-        places = F.transform(w, lambda x: F.coalesce(F.array_position(common, F.lower(x)), F.lit(0)))
-        counts = lambda p: F.array(*[(F.size(p) - F.size(F.array_remove(p, F.lit(k).cast("long")))).cast("long") for k in range(N_COMMON + 1)])
         return F.struct(
-            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            _repeat_words(w).alias("n_repeat_words"), _let(places, counts).alias("word_counts"),
+            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).alias("n_repeat_words"),
+            F.concat(F.lit(" "), F.lower(F.array_join(w, "  ")), F.lit(" ")).alias("apart"),
         )
 
+    def times(k: int) -> F.Column:
+        """How often the common word stands in the text; with two spaces between words none overlap."""
+        cut = F.octet_length("apart") - F.octet_length(F.replace(F.col("apart"), common(k), F.lit("")))
+        return F.coalesce((cut / F.octet_length(common(k))).cast("long"), F.lit(0).cast("long"))
+
+    def removed(pattern: str) -> F.Column:
+        return (F.length("text") - F.length(F.regexp_replace("text", pattern, ""))).cast("long")
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text.alias("text"))
+    rows = rows.select("*", _let(words, of_words).alias("w")).select("*", "w.*").drop("w")
+    rows = rows.select(
+        "doc_id", "lang", "n_words", "word_chars", "n_repeat_words", F.length("text").cast("long").alias("n_chars"), F.array(*[times(k) for k in range(N_COMMON)]).alias("common"),
+        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), *[removed(p).alias(f"n_{k}") for k, p in CLASSES.items() if k != "space"],
+    )
+    rows = rows.withColumns({"n_symbols": F.col("n_symbol"), "n_space": F.col("n_chars") - F.col("word_chars")})
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    classes = F.array(*[f"n_{k}" for k in CLASSES])
     return rows.select(
-        "doc_id", "lang", _let(words, of_words).alias("w"),
-        (F.length("text") - F.length(F.regexp_replace("text", SYMBOL, ""))).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        F.length("text").cast("long").alias("n_chars"),
-        F.array(*[(F.length("text") - n).cast("long") for n in left.values()]).alias("classes"),
-    ).select(
-        "doc_id", "lang", "w.*", "n_symbols", "n_dup_lines", "n_chars",
-        F.concat("classes", F.array(F.col("n_chars") - F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x))).alias("class_counts"),
+        "doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars",
+        F.concat(F.array(F.col("n_words") - total("common")), "common").alias("word_counts"), F.concat(classes, F.array(F.col("n_chars") - total(classes))).alias("class_counts"),
     )
 
 
