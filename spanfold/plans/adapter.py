@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +18,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, prefix: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir, or a temporary one where none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanfold-")
+    return f"{folder.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, path: str) -> DataFrame:
+    """The same rows as a table, for plans that read them several times."""
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
 def seconds(ts: Column) -> Column:
     """Seconds since 1970 of a wall-clock time, whatever the session's zone is."""
     return F.unix_date(F.to_date(ts)).cast("long") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts)).cast("long")

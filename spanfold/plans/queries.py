@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,7 +67,10 @@ def knn_brute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(spark, sf_dir, "two_phase").select("query_id", "fraud_count", "approved", "fraud_score")
+    """The partitioned plan; it reads queries and references several times, so both are written first."""
+    at = adapter.scratch(spark, "knn")
+    asked, refs = adapter.written(adapter.queries(spark, sf_dir), f"{at}/queries"), adapter.written(adapter.references(spark, sf_dir), f"{at}/refs")
+    return score(asked, refs, "two_phase").select("query_id", "fraud_count", "approved", "fraud_score")
 
 
 def box_lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,13 +183,9 @@ def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_fraud_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query, its requests read back as a file stream and scored batch by batch."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanfold-stream-")
-    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    asked = adapter.queries(spark, sf_dir)
-    asked.write.parquet(f"{at}/in")
-    refs = adapter.references(spark, sf_dir)
-    refs.write.parquet(f"{at}/refs")
-    refs = spark.read.parquet(f"{at}/refs")
+    at = adapter.scratch(spark, "stream")
+    asked = adapter.written(adapter.queries(spark, sf_dir), f"{at}/in")
+    refs = adapter.written(adapter.references(spark, sf_dir), f"{at}/refs")
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
