@@ -54,9 +54,12 @@ def neighbours_two_phase(queries: DataFrame, refs: DataFrame, zones: DataFrame |
     A query's own partition gives it a first k-th distance; only partitions whose box is no farther
     (equality included, as a tie may win by its index) are joined then.  The zone map has at most
     256 rows, so its join with the queries is a broadcast; both other joins shuffle by key, and
-    skewed keys are split by the adaptive plan.
+    skewed keys are split by the adaptive plan.  Queries are dealt by id first: they are few bytes
+    but much work, which a plan that merges small partitions would leave to one task, and where
+    references are broadcast the ranking then needs no further shuffle.
     """
     zones = zone_map(refs) if zones is None else zones
+    queries = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
     distance = squared_distance("q", "r", columns).alias("dist")
     seed = queries.alias("q").join(refs.alias("r"), "pkey").select("q.query_id", "r.ref_idx", "r.label", distance)
     far = _ranked(seed, k).groupBy("query_id").agg(F.max("dist").alias("cutoff"), F.count("*").alias("found"))
