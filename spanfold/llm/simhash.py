@@ -52,7 +52,7 @@ def _fingerprints(words_in_shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x.as_py(), words_in_shingle) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(found, pa.int64())], names=["doc_id", "text_key", "fp"])
 
     return run
 
@@ -264,6 +264,12 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3, shard_size: int = SH
     return shards.mapInArrow(_link(radius), "a long, b long")
 
 
+def _fingerprinted(docs: DataFrame, words_in_shingle: int) -> DataFrame:
+    """doc_id, text_key, fp of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(as_bytes("text")).alias("text_key"), as_bytes("text").alias("text"))
+    return checkpoint(rows.mapInArrow(_fingerprints(words_in_shingle), "doc_id long, text_key long, fp long"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3, shard_size: int = SHARD) -> DataFrame:
     """One row for each row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -273,8 +279,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3,
     each; null ids are kept and never name a component unless it has no other id (then null).  An
     empty table gives an empty table; other columns are ignored.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"))
-    rows = checkpoint(rows.mapInArrow(_fingerprints(words_in_shingle), "doc_id long, fp long"))
+    rows = _fingerprinted(docs, words_in_shingle)
     distinct = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     nodes = components(link_fingerprints(distinct, radius, shard_size))
     linked = checkpoint(nodes.join(distinct, nodes.node == distinct.fp).select("fp", "root", "first"))
@@ -291,13 +296,31 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3,
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: the one that names it.
+def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one row of each group; ``rows`` has doc_id, text_key, group for each of them.
 
-    Of repeated rows with that id the first by text stays.
+    The row of least id (null last), then text key, stays.  Of rows equal in both the first by its
+    columns stays; no row is dropped for another group's sake.
     """
-    kept = near_duplicates(docs, **options).select(F.col("component_id").alias("kept_id")).distinct()
+    me = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    kept = rows.groupBy("group").agg(F.min(me).alias("me")).select(F.col("me.doc_id").alias("kept_id"), F.col("me.text_key").alias("kept_key"))
     own = [f"d.`{c}`" for c in docs.columns]
-    found = docs.alias("d").join(kept.alias("k"), F.expr("cast(d.doc_id as long) <=> k.kept_id")).select(*own)
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in found.columns])
-    return found.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    key = "xxhash64(cast(cast(d.text as string) as binary))"
+    found = docs.alias("d").join(kept.alias("k"), F.expr(f"cast(d.doc_id as long) <=> k.kept_id and {key} = k.kept_key")).select(*own, F.col("kept_key").alias("_key"))
+    order = Window.partitionBy("doc_id", "_key").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place", "_key")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3, shard_size: int = SHARD) -> DataFrame:
+    """The rows of ``docs`` with one row of each component of ``near_duplicates``.
+
+    The component is that of the row's own fingerprint, so rows without an id and rows that share
+    one stand for their own texts.
+    """
+    rows = _fingerprinted(docs, words_in_shingle)
+    nodes = components(link_fingerprints(checkpoint(rows.select("fp").distinct()), radius, shard_size))
+    # A component's first row is the first of some fingerprint's, so one row for each goes on.
+    me = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    firsts = rows.groupBy("fp").agg(F.min(me).alias("me")).select("fp", "me.doc_id", "me.text_key")
+    grouped = firsts.join(nodes, firsts.fp == nodes.node, "left")
+    return first_of_each(docs, grouped.select("doc_id", "text_key", F.coalesce("root", "fp").alias("group")))

@@ -196,6 +196,15 @@ def test_quality_of_awkward_rows(spark, docs, empty, clashing):
     assert kept.count() == quality.score(docs, ranking, ["doc_id"]).where("predicted = 1").count()
 
 
+def test_one_row_of_each_component_stays(spark):
+    rng = random.Random(21)
+    text = lambda: " ".join(str(rng.randrange(10**6)) for _ in range(60))
+    x, y, *others = [text() for _ in range(8)]
+    rows = [(None, t) for t in others] + [(None, others[0]), (3, x), (7, y), (7, x), (None, y + " ")]
+    kept = sorted(map(tuple, simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert kept == sorted([(None, t) for t in others] + [(3, x), (7, y)], key=repr)
+
+
 SAID = "</s>[INST] ok [/INST]"
 
 
