@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 #: Strings that steer a model; texts must not be able to form them.
 CONTROL = ("[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>")
-#: Prefixes are rendered whole up to this many turns; a longer conversation goes on in segments,
-#: whose first turn is the last one of the segment before, so the work for a turn stays bounded.
+#: Prefixes are rendered whole, however long.  Only a template declared ``independent_turns``, whose
+#: output is that of its single turns joined, goes on in segments after this many turns: the first
+#: turn of a segment is the last one of the segment before, so the work for a turn stays bounded.
 SEGMENT = 64
 
 Render = Callable[[list[tuple[str, str]]], str]
@@ -41,6 +42,9 @@ def template(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<s>{escape(role)}[INST]{escape(text)}[/INST]</s>\n" for role, text in turns)
 
 
+template.independent_turns = True
+
+
 _TURN = re.compile(r"<s>(.*?)\[INST\](.*?)\[/INST\]</s>\n", re.DOTALL)
 
 
@@ -51,16 +55,16 @@ def read_turn(piece: str) -> tuple[str, str, int, int] | None:
 
 
 class Incremental:
-    """Renders a conversation's prefixes one turn after another."""
+    """Renders a conversation's prefixes one turn after another, whole unless ``segment`` is given."""
 
-    def __init__(self, render: Render, segment: int = SEGMENT):
+    def __init__(self, render: Render, segment: int | None = None):
         self.render, self.segment = render, segment
         self.turns: list[tuple[str, str]] = []
         self.before, self.rewrites = "", False
 
     def add(self, role: str, text: str) -> str:
         """What the turn adds to the output; a template that rewrites history sets ``rewrites``."""
-        if len(self.turns) >= self.segment:
+        if self.segment and len(self.turns) >= self.segment:
             self.turns = self.turns[-1:]
             self.before = self.render(self.turns)
         self.turns.append((role, text))
@@ -78,7 +82,7 @@ _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
-def _render(render: Render, segment: int):
+def _render(render: Render, segment: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, conversation, index, length = (), None, 0, 0
         for batch in batches:
@@ -109,15 +113,18 @@ def format_conversations(conversations: DataFrame, render: Render = template, se
     fixed order; null roles and texts are empty; null conv_id is a conversation of its own.  Other
     columns are ignored; an empty table gives no rows.
 
-    One shuffle by conversation; its turns then stream through the task in sorted order, with at
-    most ``segment`` of them in memory, however long the conversation is.
+    One shuffle by conversation; its turns then stream through the task in sorted order.  Whole
+    prefixes are rendered, so a task holds one conversation and its work grows with the square of
+    the turns; a template with a true ``independent_turns`` attribute, like the default one, is
+    rendered in segments instead, with at most ``segment`` turns in memory.
     """
+    stable = getattr(render, "independent_turns", False)
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(_render(render, segment), _SCHEMA)
+    return ordered.mapInArrow(_render(render, segment if stable else None), _SCHEMA)
 
 
 class _Digest:

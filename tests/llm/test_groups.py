@@ -240,6 +240,18 @@ def test_escapes_and_rewriting_templates():
     assert shows_last.rewrites
 
 
+def test_long_conversations_are_rendered_whole(spark):
+    rows = [(conv, i, "user", f"t{i}") for conv in (1, 2) for i in range(150)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").where("conv_id = 1 or turn < 100")
+    numbered = lambda turns: "".join(f"{i} {text}\n" for i, (_, text) in enumerate(turns, 1))
+    pieces = {(r.conv_id, r.turn_index): r for r in chat.format_conversations(frame, numbered).collect()}
+    for conv, n in ((1, 150), (2, 100)):
+        assert "".join(pieces[conv, i].piece for i in range(n)) == numbered([("user", f"t{i}") for i in range(n)])
+    marks_first = lambda turns: ("long " if len(turns) > 120 else "") + numbered(turns)
+    found = chat.format_conversations(frame, marks_first).groupBy("conv_id").agg(F.max("rewrites")).collect()
+    assert dict(map(tuple, found)) == {1: True, 2: False}
+
+
 def test_packing_keeps_every_token(docs, rows, empty):
     encode = packing.Encoder()
     packed = packing.pack_tokens(docs, row=256, block=3000).collect()
