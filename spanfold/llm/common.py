@@ -47,26 +47,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def long_id(frame: DataFrame, name: str = "doc_id") -> F.Column:
+    """The id column as long; ids are integers, so any other type is an error before a job starts."""
+    if (kind := frame.schema[name].dataType.simpleString()) not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"{name} must be an integer column, not {kind}")
+    return F.col(f"`{name}`").cast("long").alias(name)
+
+
 def as_bytes(column: str) -> F.Column:
     return F.col(column).cast("string").cast("binary")
 
 
-def checkpoint(frame: DataFrame) -> DataFrame:
-    """Cut lineage in the folder the cluster names in spark.checkpoint.dir.
+def _shared_root(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where one machine runs everything."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix="spanfold-")
 
-    Only where no folder is set at all, as in tests, a temporary one is used.
-    """
+
+def checkpoint(frame: DataFrame) -> DataFrame:
+    """Cut lineage in the folder of spark.checkpoint.dir."""
     context = frame.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spanfold-checkpoints-"))
+        context.setCheckpointDir(_shared_root(frame.sparkSession))
     return frame.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, prefix: str) -> str:
-    """A new path in the folder that the cluster shares, or in a temporary one where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanfold-")
-    return f"{folder.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares."""
+    return f"{_shared_root(spark)}/{prefix}-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -9,15 +9,16 @@ Components of the forests are found by alternating large and small stars on Data
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import as_bytes, checkpoint, spaced_words
+from spanfold.llm.common import as_bytes, checkpoint, long_id, spaced_words
 
 SEED = 42
 #: Fingerprints the driver sees to place the vantage points of the shards.
@@ -26,6 +27,8 @@ SAMPLE = 16_384
 SHARD = 8_192
 #: A fingerprint is hot if its rows are more than one in so many; there are fewer of them than that.
 HOT_SHARE = 1_000
+#: Keys that are sent to every task, once counted, rather than shuffled with the texts they pick.
+FEW = 1_000_000
 _LEAF = 96
 _CELLS = 4_000_000
 
@@ -266,7 +269,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = 3, shard_size: int = SH
 
 def _fingerprinted(docs: DataFrame, words_in_shingle: int) -> DataFrame:
     """doc_id, text_key, fp of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(as_bytes("text")).alias("text_key"), as_bytes("text").alias("text"))
+    rows = docs.select(long_id(docs), F.xxhash64(as_bytes("text")).alias("text_key"), as_bytes("text").alias("text"))
     return checkpoint(rows.mapInArrow(_fingerprints(words_in_shingle), "doc_id long, text_key long, fp long"))
 
 
@@ -296,31 +299,52 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3,
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def first_rows(rows: DataFrame, key: str) -> DataFrame:
+    """``key``, doc_id, text_key, copies of the first row (doc_id, text_key) of each ``key``.
+
+    First is the least id, null last, then the least text key; ``copies`` counts the rows equal in
+    both.  Equal rows meet in a partial aggregation, so a hot key is a row from each task.
+    """
+    counted = rows.groupBy(key, "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    me = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "copies")
+    return counted.groupBy(key).agg(F.min(me).alias("me")).select(key, "me.doc_id", "me.text_key", "me.copies")
+
+
 def first_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one row of each group; ``rows`` has doc_id, text_key, group for each of them.
+    """One row of ``docs`` for each group of ``rows`` (doc_id, text_key, copies, group), in its own columns.
 
-    The row of least id (null last), then text key, stays.  Of rows equal in both the first by its
-    columns stays; no row is dropped for another group's sake.
+    The row of least id (null last), then text key, stays.  Texts are read where they are; only
+    rows that share both with another row are shuffled, and of those that also have equal texts
+    the first by its columns stays (columns that can't be ordered, like maps, don't count).
     """
-    me = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    kept = rows.groupBy("group").agg(F.min(me).alias("me")).select(F.col("me.doc_id").alias("kept_id"), F.col("me.text_key").alias("kept_key"))
-    own = [f"d.`{c}`" for c in docs.columns]
-    key = "xxhash64(cast(cast(d.text as string) as binary))"
-    found = docs.alias("d").join(kept.alias("k"), F.expr(f"cast(d.doc_id as long) <=> k.kept_id and {key} = k.kept_key")).select(*own, F.col("kept_key").alias("_key"))
-    order = Window.partitionBy("doc_id", "_key").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    return found.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place", "_key")
+    me = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key", "copies")
+    kept = checkpoint(rows.groupBy("group").agg(F.min(me).alias("me")).select(F.col("me.doc_id").alias("kept_id"), F.col("me.text_key").alias("kept_key"), "me.copies"))
+    few = kept.count() <= FEW
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # so no column of the input can clash
+    held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names)])
+    doc_id, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    on = F.expr(f"cast(d.{doc_id} as long) <=> k.kept_id and xxhash64(cast(cast(d.{text} as string) as binary)) = k.kept_key")
+
+    def chosen(which: str) -> DataFrame:
+        some = kept.where(which)
+        return held.alias("d").join((F.broadcast(some) if few else some).alias("k"), on, "left_semi")
+
+    found = chosen("copies = 1")
+    if not kept.where("copies > 1").isEmpty():
+        ordered = [n for n, f in zip(names, docs.schema.fields) if not re.search("map<|variant", f.dataType.simpleString())]
+        first = F.min_by(F.struct(*names), F.struct(*ordered)).alias("_row")
+        found = found.unionByName(chosen("copies > 1").groupBy(doc_id, text).agg(first).select("_row.*"))
+    return found.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names)])
 
 
 def keep_one(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3, shard_size: int = SHARD) -> DataFrame:
-    """The rows of ``docs`` with one row of each component of ``near_duplicates``.
+    """The rows of ``docs``, in its own columns, with one row of each component of ``near_duplicates``.
 
     The component is that of the row's own fingerprint, so rows without an id and rows that share
-    one stand for their own texts.
+    one stand for their own texts.  Of a component the row of least id stays (null last, then by
+    text, then by its other columns).  An empty table gives an empty table.
     """
     rows = _fingerprinted(docs, words_in_shingle)
     nodes = components(link_fingerprints(checkpoint(rows.select("fp").distinct()), radius, shard_size))
-    # A component's first row is the first of some fingerprint's, so one row for each goes on.
-    me = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    firsts = rows.groupBy("fp").agg(F.min(me).alias("me")).select("fp", "me.doc_id", "me.text_key")
-    grouped = firsts.join(nodes, firsts.fp == nodes.node, "left")
-    return first_of_each(docs, grouped.select("doc_id", "text_key", F.coalesce("root", "fp").alias("group")))
+    grouped = first_rows(rows, "fp").join(nodes.withColumnRenamed("node", "fp"), "fp", "left")
+    return first_of_each(docs, grouped.select("doc_id", "text_key", "copies", F.coalesce("root", "fp").alias("group")))

@@ -6,6 +6,7 @@ import corpus_pipeline
 import numpy as np
 from helpers import DATA
 from pyspark.sql import functions as F
+from test_similar import plain_kept
 
 from spanfold.llm import mixing, packing, quality
 from spanfold.llm.common import table
@@ -27,14 +28,8 @@ def test_stages_act_on_what_is_left(spark, tmp_path):
     known = [d for d in ids[""] if d in labels]
     assert sum((d in set(ids["quality"])) == (labels[d] == 1) for d in known) > 0.95 * len(known)
 
-    from test_groups import plain_components, plain_fingerprint
-
-    rows = kept["quality"].select("doc_id", "text").collect()
-    groups = plain_components([plain_fingerprint(r.text) for r in rows])
-    least = {}
-    for r, g in zip(rows, groups):
-        least[g] = min(least.get(g, r.doc_id), r.doc_id)
-    assert sorted(ids["near_duplicates"]) == sorted(least.values())
+    rows = [tuple(r) for r in kept["quality"].select("doc_id", "text").collect()]
+    assert sorted((d is None, d or 0) for d in ids["near_duplicates"]) == plain_kept(rows)
 
     from test_scans import plain_contamination
 
