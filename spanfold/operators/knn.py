@@ -1,4 +1,10 @@
-"""Exact k-nearest-neighbour join by squared Euclidean distance, ties by reference index."""
+"""Exact k-nearest-neighbour join by squared Euclidean distance, ties by reference index.
+
+Small reference sets are held by every worker as arrays.  Larger ones are cut into boxes: within
+each partition key, at the median of the widest dimension, until a box holds a bounded number.  A
+query's own box gives it a first k-th distance; a walk over the boxes drops every branch that lies
+farther, and only the boxes that are left are joined.
+"""
 
 from __future__ import annotations
 
@@ -6,15 +12,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanfold.functions.features import QUANTISED
-from spanfold.sources.references import zone_map
+from spanfold.sources.scratch import scratch, written
 
 K = 5
-#: References up to this many are held by every worker; beyond, the partitioned plan runs.
-MOST_BROADCAST = 1_000_000
+#: Bytes of references, as numbers of 8 bytes, that every worker may hold; beyond, boxes are joined.
+MOST_BYTES = 256 << 20
+#: References that a box is meant to hold.
+LEAF = 256
+#: References that place the cuts between boxes at most; boxes themselves are those of all references.
+SAMPLE = 131_072
+_LEAST_SAMPLED = 16
 _CELLS = 4_000_000
 
 
@@ -33,12 +45,6 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def neighbours_brute(queries: DataFrame, refs: DataFrame, k: int = K, columns: list[str] = QUANTISED) -> DataFrame:
-    """query_id, rank, ref_idx, dist, label by comparing every pair; the rule for the others."""
-    pairs = queries.alias("q").crossJoin(F.broadcast(refs).alias("r"))
-    return _ranked(pairs.select("q.query_id", "r.ref_idx", "r.label", squared_distance("q", "r", columns).alias("dist")), k).select("query_id", "rank", "ref_idx", "dist", "label")
-
-
 def box_bound(columns: list[str] = QUANTISED) -> Column:
     """Least squared distance from a query (q) to any point of a box (z)."""
     total = None
@@ -48,28 +54,126 @@ def box_bound(columns: list[str] = QUANTISED) -> Column:
     return total
 
 
-def neighbours_two_phase(queries: DataFrame, refs: DataFrame, zones: DataFrame | None = None, k: int = K, columns: list[str] = QUANTISED) -> DataFrame:
-    """The same neighbours, with partitions that cannot hold one pruned by their boxes.
+class BoxTree:
+    """Boxes over references: a tree for each partition key.
 
-    A query's own partition gives it a first k-th distance; only partitions whose box is no farther
-    (equality included, as a tie may win by its index) are joined then.  The zone map has at most
-    256 rows, so its join with the queries is a broadcast; both other joins shuffle by key, and
-    skewed keys are split by the adaptive plan.  Queries are dealt by id first: they are few bytes
-    but much work, which a plan that merges small partitions would leave to one task, and where
-    references are broadcast the ranking then needs no further shuffle.
+    A box is named by its node, or by -1 - key where the sample knew no reference of the key.
     """
-    zones = zone_map(refs) if zones is None else zones
-    queries = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
-    distance = squared_distance("q", "r", columns).alias("dist")
-    seed = queries.alias("q").join(refs.alias("r"), "pkey").select("q.query_id", "r.ref_idx", "r.label", distance)
-    far = _ranked(seed, k).groupBy("query_id").agg(F.max("dist").alias("cutoff"), F.count("*").alias("found"))
-    far = far.select("query_id", F.when(F.col("found") >= k, F.col("cutoff")).alias("cutoff"))
-    asked = queries.join(far, "query_id", "left")
-    wanted = asked.alias("q").join(F.broadcast(zones).alias("z"), F.col("q.cutoff").isNull() | (box_bound(columns) <= F.col("q.cutoff")))
-    wanted = wanted.select("q.query_id", "q.cutoff", F.col("z.pkey").alias("pkey"), *[f"q.{c}" for c in columns])
-    pairs = wanted.alias("q").join(refs.alias("r"), "pkey").select("q.query_id", "r.ref_idx", "r.label", distance, "q.cutoff")
-    near = pairs.where(F.col("cutoff").isNull() | (F.col("dist") <= F.col("cutoff")))
-    return _ranked(near.drop("cutoff"), k).select("query_id", "rank", "ref_idx", "dist", "label")
+
+    def __init__(self, keys: np.ndarray, points: np.ndarray, leaf: int):
+        self.dim: list[int] = []
+        self.cut: list[int] = []
+        self.children: list[tuple[int, int]] = []
+        self.roots = {int(key): self._grow(points[keys == key], leaf) for key in np.unique(keys)}
+
+    def _grow(self, points: np.ndarray, leaf: int) -> int:
+        node = len(self.dim)
+        self.dim.append(-1)
+        self.cut.append(0)
+        self.children.append((-1, -1))
+        spread = points.max(0).astype(np.int64) - points.min(0)
+        widest = int(spread.argmax())
+        if len(points) > leaf and spread[widest]:
+            values = points[:, widest]
+            cut = np.partition(values, (len(values) - 1) // 2)[(len(values) - 1) // 2]
+            if cut == values.max():
+                cut = values[values < cut].max()
+            self.dim[node], self.cut[node] = widest, int(cut)
+            self.children[node] = self._grow(points[values <= cut], leaf), self._grow(points[values > cut], leaf)
+        return node
+
+    def box_of(self, keys: np.ndarray, points: np.ndarray) -> np.ndarray:
+        found = -1 - keys.astype(np.int64)
+        stack = [(root, np.flatnonzero(keys == key)) for key, root in self.roots.items()]
+        while stack:
+            node, rows = stack.pop()
+            if len(rows) and self.dim[node] < 0:
+                found[rows] = node
+            elif len(rows):
+                near = points[rows, self.dim[node]] <= self.cut[node]
+                left, right = self.children[node]
+                stack += [(left, rows[near]), (right, rows[~near])]
+        return found
+
+    def fit(self, boxes: np.ndarray, counts: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Set the boxes of all references; a branch's box holds those of its children."""
+        n, dims = len(self.dim), low.shape[1]
+        self.boxes, self.counts, self.lows, self.highs = boxes, counts, low.astype(np.int64), high.astype(np.int64)
+        self.place = {int(b): i for i, b in enumerate(boxes)}
+        self.low, self.high, self.filled = np.zeros((n, dims), np.int64), np.zeros((n, dims), np.int64), np.zeros(n, bool)
+        for node in reversed(range(n)):  # children come after their parents
+            if self.dim[node] < 0:
+                if (at := self.place.get(node)) is not None:
+                    self.low[node], self.high[node], self.filled[node] = self.lows[at], self.highs[at], True
+            elif some := [c for c in self.children[node] if self.filled[c]]:
+                self.low[node], self.high[node], self.filled[node] = self.low[some].min(0), self.high[some].max(0), True
+
+    @staticmethod
+    def bound(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        gap = np.maximum(np.maximum(low - points, points - high), 0)
+        return (gap * gap).sum(-1)
+
+    def walk(self, points: np.ndarray, cutoff: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(box, points that may have a neighbour within their cutoff in it); equality counts, as a tie may win by its index."""
+        for at in np.flatnonzero(self.boxes < 0):
+            rows = np.flatnonzero(self.bound(points, self.lows[at], self.highs[at]) <= cutoff)
+            if len(rows):
+                yield int(self.boxes[at]), rows
+        stack = [(root, np.arange(len(points))) for root in self.roots.values()]
+        while stack:
+            node, rows = stack.pop()
+            if not self.filled[node]:
+                continue
+            rows = rows[self.bound(points[rows], self.low[node], self.high[node]) <= cutoff[rows]]
+            if len(rows) and self.dim[node] < 0:
+                yield node, rows
+            elif len(rows):
+                stack += [(child, rows) for child in self.children[node]]
+
+    def first_boxes(self, keys: np.ndarray, points: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(box, points) so that each point is given at least k references, its own box's or else those of the nearest boxes."""
+        own = self.box_of(keys, points)
+        enough = np.array([self.counts[self.place[b]] >= k if b in self.place else False for b in own.tolist()], bool)
+        for box in np.unique(own[enough]):
+            yield int(box), np.flatnonzero(enough & (own == box))
+        for row in np.flatnonzero(~enough) if len(self.boxes) else ():
+            order = np.argsort(self.bound(points[row], self.lows, self.highs), kind="stable")
+            for at in order[: 1 + np.searchsorted(np.cumsum(self.counts[order]), k)]:
+                yield int(self.boxes[at]), np.array([row])
+
+
+def _array(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(np.int64)
+
+
+def _add_box(shared, columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            boxes = shared.value.box_of(batch.column("pkey").to_numpy(zero_copy_only=False), _array(batch, columns))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(boxes, pa.int64())], names=[*batch.schema.names, "box"])
+
+    return run
+
+
+def _ask(shared, columns: list[str], k: int | None):
+    """(box, query, cutoff) rows: the first boxes where ``k`` is given, else all within the cutoff."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = shared.value
+        for batch in batches:
+            points = _array(batch, columns)
+            if k is None:
+                cutoff = batch.column("cutoff").to_numpy(zero_copy_only=False)
+                found = list(tree.walk(points, cutoff))
+            else:
+                found = list(tree.first_boxes(batch.column("pkey").to_numpy(zero_copy_only=False), points, k))
+            for at in range(0, len(found), 256):
+                some = found[at : at + 256]
+                rows = batch.take(pa.array(np.concatenate([r for _, r in some])))
+                boxes = np.concatenate([np.full(len(r), b) for b, r in some])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(boxes, pa.int64())], names=[*batch.schema.names, "box"])
+
+    return run
 
 
 def _nearest(shared, k: int, columns: list[str]):
@@ -83,7 +187,9 @@ def _nearest(shared, k: int, columns: list[str]):
             ids, q = frame["query_id"].to_numpy(), frame[columns].to_numpy(np.float64)
             for at in range(0, len(q) if most else 0, step):
                 some = q[at : at + step]
-                dist = (some * some).sum(1)[:, None] + squares[None, :] - 2 * (some @ points.T)
+                dist = some @ (-2 * points.T)
+                dist += (some * some).sum(1)[:, None]
+                dist += squares[None, :]
                 # References are in index order: all at or below the k-th distance hold every winner.
                 limit = np.partition(dist, most - 1, axis=1)[:, most - 1]
                 row, ref = np.nonzero(dist <= limit[:, None])
@@ -97,28 +203,113 @@ def _nearest(shared, k: int, columns: list[str]):
     return run
 
 
-def neighbours_arrays(queries: DataFrame, refs: DataFrame, k: int = K, columns: list[str] = QUANTISED) -> DataFrame:
-    """The same neighbours by matrix products in workers that hold all references; no shuffle."""
-    table = refs.select("ref_idx", "label", *columns).toPandas().sort_values("ref_idx")
-    value = table["ref_idx"].to_numpy(np.int64), table["label"].to_numpy(np.int32), table[columns].to_numpy(np.int32)
-    shared = queries.sparkSession.sparkContext.broadcast(value)
-    kind = dict(queries.dtypes)["query_id"]
-    return queries.select("query_id", *columns).mapInPandas(_nearest(shared, k, columns), f"query_id {kind}, rank int, ref_idx long, dist long, label int")
+class Brute:
+    """Compares every pair; the rule for the others, for small tables only."""
 
+    def __init__(self, refs: DataFrame, k: int, columns: list[str]):
+        self.refs, self.k, self.columns = refs, k, columns
 
-def neighbours(queries: DataFrame, refs: DataFrame, k: int = K, strategy: str = "auto", columns: list[str] = QUANTISED) -> DataFrame:
-    """query_id, rank, ref_idx, dist, label of the k nearest references of every query.
+    def neighbours(self, queries: DataFrame) -> DataFrame:
+        pairs = queries.alias("q").crossJoin(F.broadcast(self.refs).alias("r"))
+        pairs = pairs.select("q.query_id", "r.ref_idx", "r.label", squared_distance("q", "r", self.columns).alias("dist"))
+        return _ranked(pairs, self.k).select("query_id", "rank", "ref_idx", "dist", "label")
 
-    ``auto`` counts the references: up to MOST_BROADCAST they go to the workers as arrays, beyond
-    the partitioned plan joins them.  All strategies give the same rows.
+    def close(self) -> None:
+        """Nothing is held."""
+
+
+class Arrays:
+    """Matrix products in workers that hold all references; no shuffle."""
+
+    def __init__(self, refs: DataFrame, k: int, columns: list[str]):
+        table = refs.select("ref_idx", "label", *columns).toPandas().sort_values("ref_idx")
+        value = table["ref_idx"].to_numpy(np.int64), table["label"].to_numpy(np.int32), table[columns].to_numpy(np.int32)
+        self.shared, self.k, self.columns = refs.sparkSession.sparkContext.broadcast(value), k, columns
+
+    def neighbours(self, queries: DataFrame) -> DataFrame:
+        kind = dict(queries.dtypes)["query_id"]
+        return queries.select("query_id", *self.columns).mapInPandas(_nearest(self.shared, self.k, self.columns), f"query_id {kind}, rank int, ref_idx long, dist long, label int")
+
+    def close(self) -> None:
+        self.shared.destroy()
+
+
+class Boxes:
+    """Joins queries with the boxes that may hold a neighbour.
+
+    Of equal vectors only the k of least index can be neighbours, so the others are left out first
+    and no box of one point is hot.  The boxes' tree is bounded by SAMPLE and broadcast; references
+    and queries are shuffled by box.
+    """
+
+    def __init__(self, refs: DataFrame, k: int, columns: list[str], leaf: int = LEAF, sample: int = SAMPLE):
+        spark = refs.sparkSession
+        self.k, self.columns, self.parts = k, columns, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = refs.select("ref_idx", "label", (F.col("pkey") if "pkey" in refs.columns else F.lit(0)).cast("int").alias("pkey"), *columns)
+        equal = Window.partitionBy("pkey", *columns).orderBy("ref_idx")
+        rows = rows.withColumn("_n", F.row_number().over(equal)).where(F.col("_n") <= k).drop("_n")
+        rows = written(rows, scratch(spark, "references"))
+        n = rows.count()
+        some = rows.where(F.pmod(F.xxhash64("ref_idx"), F.lit(max(1, n // sample))) == 0).limit(2 * sample).select("pkey", *columns).toPandas()
+        within = max(_LEAST_SAMPLED, leaf * len(some) // max(1, n)) if len(some) < n else leaf
+        tree = BoxTree(some["pkey"].to_numpy(), some[columns].to_numpy(), within)
+        kinds = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+        cuts = spark.sparkContext.broadcast(tree)
+        boxed = rows.mapInArrow(_add_box(cuts, columns), f"{kinds}, box long").repartition(self.parts, "box")
+        self.refs = written(boxed, scratch(spark, "boxes"))
+        low, high = [F.min(c).alias(f"lo{i}") for i, c in enumerate(columns)], [F.max(c).alias(f"hi{i}") for i, c in enumerate(columns)]
+        zones = self.refs.groupBy("box").agg(F.count("*").alias("n"), *low, *high).toPandas()  # a row for each box
+        sides = [zones[[f"{side}{i}" for i in range(len(columns))]].to_numpy().reshape(-1, len(columns)) for side in ("lo", "hi")]
+        tree.fit(zones["box"].to_numpy(np.int64), zones["n"].to_numpy(np.int64), *sides)
+        self.tree, self.shared = tree, spark.sparkContext.broadcast(tree)
+        cuts.destroy()
+
+    def _pairs(self, asked: DataFrame, *more: str) -> DataFrame:
+        distance = squared_distance("q", "r", self.columns).alias("dist")
+        return asked.repartition(self.parts, "box").alias("q").join(self.refs.repartition(self.parts, "box").alias("r"), "box").select("q.query_id", "r.ref_idx", "r.label", distance, *more)
+
+    def asked(self, queries: DataFrame) -> DataFrame:
+        """query_id, box, cutoff and the columns of every box that may hold a neighbour of a query."""
+        kind = dict(queries.dtypes)["query_id"]
+        points = queries.select("query_id", (F.col("pkey") if "pkey" in queries.columns else F.lit(0)).cast("int").alias("pkey"), *self.columns)
+        kinds = f"query_id {kind}, pkey int, " + ", ".join(f"{c} int" for c in self.columns)
+        points = written(points.select("query_id", "pkey", *[F.col(c).cast("int") for c in self.columns]), scratch(queries.sparkSession, "queries"))
+        first = self._pairs(points.mapInArrow(_ask(self.shared, self.columns, self.k), f"{kinds}, box long"))
+        far = _ranked(first, self.k).groupBy("query_id").agg(F.max("dist").alias("cutoff"), F.count("*").alias("found"))
+        far = far.select("query_id", F.when(F.col("found") >= self.k, F.col("cutoff")).otherwise(F.lit((1 << 62))).alias("cutoff"))
+        return points.join(far, "query_id").mapInArrow(_ask(self.shared, self.columns, None), f"{kinds}, cutoff long, box long")
+
+    def neighbours(self, queries: DataFrame) -> DataFrame:
+        pairs = self._pairs(self.asked(queries), "q.cutoff")
+        near = pairs.where("dist <= cutoff").drop("cutoff")
+        return _ranked(near, self.k).select("query_id", "rank", "ref_idx", "dist", "label")
+
+    def close(self) -> None:
+        self.shared.destroy()
+
+
+Index = Brute | Arrays | Boxes
+
+
+def build(refs: DataFrame, k: int = K, strategy: str = "auto", columns: list[str] = QUANTISED) -> Index:
+    """References ready to be searched any number of times.
+
+    ``auto`` counts them: up to MOST_BYTES they go to the workers as arrays, beyond they are cut
+    into boxes.  All strategies give the same rows.
     """
     if strategy == "auto":
-        strategy = "arrays" if "pkey" not in refs.columns or refs.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else "two_phase"
-    chosen = {"brute": neighbours_brute, "two_phase": neighbours_two_phase, "arrays": neighbours_arrays}[strategy]
-    return chosen(queries, refs, k=k, columns=columns)
+        most = MOST_BYTES // (8 * (len(columns) + 2))
+        strategy = "arrays" if refs.limit(most + 1).count() <= most else "two_phase"
+    return {"brute": Brute, "two_phase": Boxes, "arrays": Arrays}[strategy](refs, k, columns)
+
+
+def neighbours(queries: DataFrame, refs: DataFrame | Index, k: int = K, strategy: str = "auto", columns: list[str] = QUANTISED) -> DataFrame:
+    """query_id, rank, ref_idx, dist, label of the k nearest references of every query."""
+    index = refs if isinstance(refs, Index) else build(refs, k, strategy, columns)
+    return index.neighbours(queries)
 
 
-def fraud_counts(queries: DataFrame, refs: DataFrame, k: int = K, strategy: str = "auto") -> DataFrame:
+def fraud_counts(queries: DataFrame, refs: DataFrame | Index, k: int = K, strategy: str = "auto") -> DataFrame:
     """query_id, fraud_count of every query; missing neighbours count as no fraud."""
     sums = neighbours(queries, refs, k, strategy).groupBy("query_id").agg(F.sum("label").alias("frauds"))
     return queries.select("query_id").join(sums, "query_id", "left").select("query_id", F.coalesce("frauds", F.lit(0)).cast("int").alias("fraud_count"))

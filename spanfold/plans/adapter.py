@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanfold.functions.features import FEATURES, with_features
 from spanfold.functions.quantise import partition_key, quantised_query, quantised_reference
+from spanfold.sources.scratch import scratch, written
 
 MCC_OF = {"click": "5411", "view": "5812", "purchase": "5912", "signup": "7995"}
 
@@ -18,31 +16,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, prefix: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir, or a temporary one where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanfold-")
-    return f"{folder.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
-
-
-def written(frame: DataFrame, path: str) -> DataFrame:
-    """The same rows as a table, for plans that read them several times."""
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
-
-
 def seconds(ts: Column) -> Column:
     """Seconds since 1970 of a wall-clock time, whatever the session's zone is."""
     return F.unix_date(F.to_date(ts)).cast("long") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.floor(F.second(ts)).cast("long")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One flat transaction record for each event, with event_id and label (k % 5 = 0).
+    """One flat transaction record for each event, with event_id and label (k % 5 = 0; an event without k has 0).
 
     Averages divide whole cents, so they don't depend on the order of addition.
     """
     events = read_table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", seconds(F.col("ts")).alias("sec"),
-        F.get_json_object("props", "$.k").cast("long").alias("k"), F.round(F.col("value") * 100).cast("long").alias("cents"),
+        F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0)).alias("k"), F.round(F.col("value") * 100).cast("long").alias("cents"),
     )
     user = Window.partitionBy("user_id")
     day = user.orderBy("sec").rangeBetween(-86_400, 0)
@@ -71,16 +57,21 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_features(records(spark, sf_dir)).select("event_id", "label", *FEATURES)
 
 
-def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth event as a labelled reference."""
-    rows = vectors(spark, sf_dir).where("event_id % 10 = 0")
+def references(rows: DataFrame) -> DataFrame:
+    """Every event of ``vectors`` as a labelled reference."""
     return rows.select(F.col("event_id").alias("ref_idx"), "label", *quantised_reference()).withColumn("pkey", partition_key())
 
 
-def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth event as a query: the adapter's definition of its request stream."""
-    rows = vectors(spark, sf_dir).where("event_id % 50 = 1")
-    return rows.select(F.col("event_id").alias("query_id"), F.col("label").alias("expected"), *quantised_query()).withColumn("pkey", partition_key())
+def queries(rows: DataFrame) -> DataFrame:
+    """The events of ``vectors`` whose id is divisible by 20, the query set; its own row is a reference to a query like any other."""
+    asked = rows.where("event_id % 20 = 0")
+    return asked.select(F.col("event_id").alias("query_id"), F.col("label").alias("expected"), *quantised_query()).withColumn("pkey", partition_key())
+
+
+def serving(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, references), worked out once and written, as a search reads both several times."""
+    rows = written(vectors(spark, sf_dir), scratch(spark, "vectors"))
+    return queries(rows), references(rows)
 
 
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:

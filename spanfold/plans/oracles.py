@@ -15,7 +15,7 @@ def _share(value: str, most: int) -> str:
 
 
 _RECORDS = f"""
-e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS sec, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
+e AS (SELECT event_id, user_id, event_type, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS sec, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k, CAST(round(value * 100) AS BIGINT) AS cents FROM events),
 of_k AS (SELECT k, CAST(sum(cents) AS BIGINT) AS k_cents, count(*) AS k_n FROM e GROUP BY k),
 w AS (SELECT e.*, CAST(sum(cents) OVER (PARTITION BY user_id) AS BIGINT) AS user_cents, count(*) OVER (PARTITION BY user_id) AS user_n,
   count(*) OVER (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS n_day, lag(sec) OVER (PARTITION BY user_id ORDER BY sec, event_id) AS last_at FROM e),
@@ -51,9 +51,9 @@ _KEY = (
 _QUERY_COLUMNS = ", ".join(f"{_query(f'f{i}')} AS q{i}" for i in range(14))
 _REFERENCE_COLUMNS = ", ".join(f"{_reference(f'f{i}')} AS q{i}" for i in range(14))
 _BOTH = f"""{_VECTORS},
-q0_ AS (SELECT event_id AS query_id, label AS expected, {_QUERY_COLUMNS} FROM v WHERE event_id % 50 = 1),
+q0_ AS (SELECT event_id AS query_id, label AS expected, {_QUERY_COLUMNS} FROM v WHERE event_id % 20 = 0),
 q AS (SELECT *, {_KEY} AS pkey FROM q0_),
-refs0 AS (SELECT event_id AS ref_idx, label, {_REFERENCE_COLUMNS} FROM v WHERE event_id % 10 = 0),
+refs0 AS (SELECT event_id AS ref_idx, label, {_REFERENCE_COLUMNS} FROM v),
 refs AS (SELECT *, {_KEY} AS pkey FROM refs0)"""
 _DISTANCE = " + ".join(f"CAST(q.{c} - refs.{c} AS BIGINT) * (q.{c} - refs.{c})" for c in _Q)
 _NEAR = f"""{_BOTH},
@@ -69,9 +69,31 @@ _COUNTS = """c AS (SELECT count(*) FILTER (NOT approved AND expected = 1) AS tp,
 _P99 = f"CASE WHEN p99 <= 0 THEN {_D(0)} WHEN p99 > 2000 THEN {_D(-3000)} ELSE {_D(1000)} * log10({_D(1000)} / greatest(p99, {_D(1)})) END"
 _PARSED = f"""WITH {_RECORDS} SELECT event_id, CAST(event_id AS VARCHAR) AS id, CAST(k % 12 + 1 AS INT) AS installments, CAST(n_day AS INT) AS tx_count_24h,
   'm' || k AS merchant_id, mcc, k % 2 = 0 AS is_online, k % 3 = 0 AS card_present, sec AS requested_at, last_at, last_at IS NOT NULL AS has_last, cents, CAST(known AS INT) AS n_known FROM r"""
+_END = "chr(13) || chr(10) || chr(13) || chr(10)"
+_POST = "'POST /fraud-score HTTP/1.1' || chr(13) || chr(10)"
+_HTTP = f"""WITH s AS (SELECT event_id, props, event_id % 8 AS n FROM events),
+r AS (SELECT event_id, CASE n WHEN 0 THEN 'GET /ready HTTP/1.1' || {_END} WHEN 3 THEN {_POST} || 'Host: a' || {_END} || props WHEN 4 THEN 'GET /x HTTP/1.1' || {_END} WHEN 6 THEN {_POST} || 'Host: a'
+  WHEN 7 THEN {_POST} || repeat('x', 4097) ELSE {_POST} || 'Content-LENGTH: ' || (strlen(props) + CASE n WHEN 1 THEN 0 WHEN 2 THEN 3 ELSE 5000 END) || {_END} || props END AS raw FROM s),
+h AS (SELECT event_id, raw, strpos(raw, {_END}) AS stop, CASE WHEN starts_with(raw, 'GET /ready ') THEN 'ready' WHEN starts_with(raw, 'POST /fraud-score ') THEN 'score' ELSE 'other' END AS route FROM r),
+l AS (SELECT *, TRY_CAST(regexp_extract(lower(left(raw, greatest(stop - 1, 0))), 'content-length:[ \t]*([0-9]*)', 1) AS BIGINT) AS size FROM h),
+t AS (SELECT *, CASE WHEN stop = 0 THEN CASE WHEN length(raw) > 4096 THEN 'bad' ELSE 'need' END WHEN route = 'ready' THEN 'ready' WHEN size IS NULL THEN CASE WHEN route = 'score' THEN 'bad' ELSE 'not_found' END
+  WHEN size > 4096 THEN 'bad' WHEN length(raw) < stop + 3 + size THEN 'need' WHEN route = 'score' THEN 'score' ELSE 'not_found' END AS status FROM l)
+SELECT event_id, route, status, CASE WHEN status = 'score' THEN substr(raw, stop + 4, size) END AS body FROM t"""
 _RISK = f"WITH {_RECORDS} SELECT event_id, mcc, risk FROM r"
 _DIMS = range(1, 65)
 
+#: The evaluation's requests carry their averages with six digits.
+_SENT = _NEAR.replace("q0_ AS (SELECT event_id AS query_id, label AS expected, " + _QUERY_COLUMNS + " FROM v WHERE", "q0_ AS (SELECT event_id AS query_id, label AS expected, " + _QUERY_COLUMNS + " FROM sent WHERE").replace(
+    "\nq0_ AS", f"""
+sent0 AS (SELECT * REPLACE (CAST(CAST(customer_avg AS DECIMAL(20, 6)) AS DOUBLE) AS customer_avg, CAST(CAST(merchant_avg AS DECIMAL(20, 6)) AS DOUBLE) AS merchant_avg) FROM r),
+sent AS (SELECT event_id, label, {', '.join(f'{x} AS f{i}' for i, x in enumerate(_F))} FROM sent0),
+q0_ AS"""
+)
+_RUN = f"""WITH {_SENT}, {_COUNTS},
+s AS (SELECT *, tp + tn + fp + fn + errors AS n, fp + 3 * fn + 5 * errors AS weighted_errors, (SELECT quantile_cont(value, 0.99) FROM events) AS p99 FROM c),
+u AS (SELECT *, {_P99} AS p99_score, CASE WHEN fp + fn + errors > n * {_D(0.15)} THEN {_D(-3000)} ELSE {_D(1000)} * log10({_D(1)} / greatest(CAST(weighted_errors AS DOUBLE) / n, {_D(0.001)})) - {_D(300)} * log10({_D(1)} + weighted_errors) END AS score FROM s)
+SELECT n, weighted_errors, tp, tn, fp, fn, errors, round(p99_score + score, 6) AS final_score FROM u"""
+
 SQL = {
     "fraud_score": f"WITH {_NEAR} {_SCORE}",
     "features_vector": f"WITH {_VECTORS} SELECT event_id, {', '.join(f'round(f{i}, 9) AS f{i}' for i in range(14))} FROM v",
@@ -87,6 +109,8 @@ SQL = {
     "knn_two_phase": f"WITH {_NEAR} {_SCORE}",
     "streaming_fraud_score": f"WITH {_NEAR} {_SCORE}",
     "box_lower_bound": f"WITH {_ZONES} SELECT query_id, z.pkey AS pkey, {' + '.join(f'{g} * {g}' for g in _GAPS)} AS bound FROM q CROSS JOIN z",
+    "http_framing": _HTTP,
+    "evaluation_run": _RUN,
     "json_extract_request": _PARSED,
     "json_compatible_request": _PARSED,
     "json_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",

@@ -12,8 +12,9 @@ from spanfold.operators.decide import decide, is_fraud
 from spanfold.plans import adapter
 from spanfold.plans.adapter import read_table
 from spanfold.sources.references import encode_label, index_totals, zone_map
-from spanfold.sources.requests import parse_compatible, parse_native
-from spanfold.streaming.scoring import score, score_stream
+from spanfold.sources.requests import http_requests, parse_compatible, parse_native
+from spanfold.sources.scratch import scratch, written
+from spanfold.streaming.scoring import score, score_bodies, score_stream
 
 
 def features_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +26,7 @@ def features_quantized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reference_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapter.references(spark, sf_dir)
+    return adapter.references(adapter.vectors(spark, sf_dir))
 
 
 def partition_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,20 +35,20 @@ def partition_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def zonemap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return zone_map(adapter.references(spark, sf_dir))
+    return zone_map(adapter.references(adapter.vectors(spark, sf_dir)))
 
 
 def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index_totals(adapter.references(spark, sf_dir))
+    return index_totals(adapter.references(adapter.vectors(spark, sf_dir)))
 
 
 def knn_neighbors_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = knn.neighbours(adapter.queries(spark, sf_dir), adapter.references(spark, sf_dir))
+    found = knn.neighbours(*adapter.serving(spark, sf_dir))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "ref_idx", "dist", "label")
 
 
 def _scores(spark: SparkSession, sf_dir: str, strategy: str) -> DataFrame:
-    return score(adapter.queries(spark, sf_dir), adapter.references(spark, sf_dir), strategy)
+    return score(*adapter.serving(spark, sf_dir), strategy)
 
 
 def fraud_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,15 +68,13 @@ def knn_brute(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_two_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The partitioned plan; it reads queries and references several times, so both are written first."""
-    at = adapter.scratch(spark, "knn")
-    asked, refs = adapter.written(adapter.queries(spark, sf_dir), f"{at}/queries"), adapter.written(adapter.references(spark, sf_dir), f"{at}/refs")
-    return score(asked, refs, "two_phase").select("query_id", "fraud_count", "approved", "fraud_score")
+    return _scores(spark, sf_dir, "two_phase").select("query_id", "fraud_count", "approved", "fraud_score")
 
 
 def box_lower_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zones = zone_map(adapter.references(spark, sf_dir))
-    pairs = adapter.queries(spark, sf_dir).alias("q").crossJoin(F.broadcast(zones).alias("z"))
+    """Least distance from each query to the box of each partition key, of which there are 256 at most."""
+    asked, refs = adapter.serving(spark, sf_dir)
+    pairs = asked.alias("q").crossJoin(F.broadcast(zone_map(refs)).alias("z"))
     return pairs.select("q.query_id", F.col("z.pkey").alias("pkey"), knn.box_bound().alias("bound"))
 
 
@@ -95,6 +94,34 @@ def json_compatible_request(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(parse_compatible(adapter.bodies(spark, sf_dir)))
 
 
+def http_framing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One raw HTTP request for each event, in eight forms, through routes, head, length and limits."""
+    n, body = F.col("event_id") % 8, F.col("props")
+    post, end = F.lit("POST /fraud-score HTTP/1.1\r\n"), F.lit("\r\n\r\n")
+    sized = lambda more: F.concat(post, F.lit("Content-LENGTH: "), (F.octet_length(body) + more).cast("string"), end, body)
+    raw = (
+        F.when(n == 0, "GET /ready HTTP/1.1\r\n\r\n").when(n == 1, sized(0)).when(n == 2, sized(3)).when(n == 3, F.concat(post, F.lit("Host: a"), end, body))
+        .when(n == 4, "GET /x HTTP/1.1\r\n\r\n").when(n == 5, sized(5000)).when(n == 6, F.concat(post, F.lit("Host: a"))).otherwise(F.concat(post, F.repeat(F.lit("x"), 4097)))
+    )
+    found = http_requests(read_table(spark, sf_dir, "events").select("event_id", raw.alias("raw")))
+    return found.select("event_id", "route", "status", "body")
+
+
+def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole evaluation: read test files, score their requests, compare by id, write the report and read it back."""
+    at, rows = scratch(spark, "evaluation"), written(adapter.vectors(spark, sf_dir), scratch(spark, "vectors"))
+    entries = adapter.bodies(spark, sf_dir).where("event_id % 20 = 0").join(rows.select("event_id", "label"), "event_id")
+    entry = F.struct(F.col("body").alias("request"), (F.col("label") == 0).alias("expected_approved"))
+    files = entries.groupBy(F.expr("event_id div 20000").alias("file")).agg(F.to_json(F.struct(F.collect_list(entry).alias("entries"))).alias("value"))
+    files.select("value").write.text(f"{at}/test-data")  # a thousand entries a line
+    tests = written(evaluate.numbered(evaluate.read_test_data(spark, f"{at}/test-data", lines=True)), f"{at}/tests")
+    said = score_bodies(tests.select(F.col("entry").alias("request_id"), F.col("request").alias("body")), adapter.references(rows))
+    answers = tests.join(said, tests.entry == said.query_id, "left")
+    evaluate.write_report(evaluate.final_scores(evaluate.confusion(answers), _latency(spark, sf_dir)), f"{at}/report")
+    report = spark.read.schema("n long, weighted_errors long, tp long, tn long, fp long, fn long, errors long, final_score double").json(f"{at}/report")
+    return report.select("n", "weighted_errors", "tp", "tn", "fp", "fn", "errors", F.round("final_score", 6).alias("final_score"))
+
+
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "events")
     return rows.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
@@ -138,9 +165,9 @@ def label_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = decide(knn.fraud_counts(adapter.queries(spark, sf_dir), adapter.references(spark, sf_dir)))
-    wanted = adapter.queries(spark, sf_dir).select("query_id", (F.col("expected") == 0).alias("expected_approved"))
-    return wanted.join(counts, "query_id", "left")
+    asked, refs = adapter.serving(spark, sf_dir)
+    wanted = asked.select("query_id", (F.col("expected") == 0).alias("expected_approved"))
+    return wanted.join(decide(knn.fraud_counts(asked, refs)), "query_id", "left")
 
 
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,9 +210,8 @@ def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streaming_fraud_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query, its requests read back as a file stream and scored batch by batch."""
-    at = adapter.scratch(spark, "stream")
-    asked = adapter.written(adapter.queries(spark, sf_dir), f"{at}/in")
-    refs = adapter.written(adapter.references(spark, sf_dir), f"{at}/refs")
+    at, (asked, refs) = scratch(spark, "stream"), adapter.serving(spark, sf_dir)
+    asked = written(asked, f"{at}/in")
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
@@ -197,7 +223,7 @@ def streaming_fraud_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     fraud_score, features_vector, features_quantized, reference_index, partition_keys, zonemap, index_summary, knn_neighbors_top5, fraud_response, declined,
-    knn_brute, knn_two_phase, box_lower_bound, json_extract_request, json_compatible_request, json_props, merchant_membership_semi, merchant_membership_anti,
+    knn_brute, knn_two_phase, box_lower_bound, http_framing, evaluation_run, json_extract_request, json_compatible_request, json_props, merchant_membership_semi, merchant_membership_anti,
     supplier_membership, mcc_risk_lookup, mcc_risk_literal, hour_weekday, label_encode, confusion_matrix, detection_score, latency_p99_score, dataset_stats,
     embedding_knn, streaming_fraud_score,
 )}

@@ -11,8 +11,9 @@ from spanfold.streaming.scoring import score
 
 def register_views(spark: SparkSession, sf_dir: str) -> list[str]:
     """tx_features, refs, zonemap, queries and scores over a data folder; views are lazy."""
-    refs, asked = adapter.references(spark, sf_dir), adapter.queries(spark, sf_dir)
-    views = {"tx_features": adapter.vectors(spark, sf_dir), "refs": refs, "zonemap": zone_map(refs), "queries": asked, "scores": score(asked, refs)}
+    rows = adapter.vectors(spark, sf_dir)
+    refs, asked = adapter.references(rows), adapter.queries(rows)
+    views = {"tx_features": rows, "refs": refs, "zonemap": zone_map(refs), "queries": asked, "scores": score(asked, refs)}
     for name, frame in views.items():
         frame.createOrReplaceTempView(name)
     return list(views)

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from spanfold.functions.features import QUANTISED, with_features
 from spanfold.functions.quantise import partition_key, quantised_query
 from spanfold.operators.decide import decide
-from spanfold.operators.knn import fraud_counts
+from spanfold.operators.knn import Index, build, fraud_counts
 from spanfold.sources.requests import parse_compatible
 
 
@@ -20,12 +20,12 @@ def to_queries(records: DataFrame, key: str = "id") -> DataFrame:
     return with_features(records).select(F.col(key).alias("query_id"), *quantised_query()).withColumn("pkey", partition_key())
 
 
-def score(queries: DataFrame, refs: DataFrame, strategy: str = "auto") -> DataFrame:
-    """query_id, fraud_count, approved, fraud_score, response of every query."""
+def score(queries: DataFrame, refs: DataFrame | Index, strategy: str = "auto") -> DataFrame:
+    """query_id, fraud_count, approved, fraud_score, response of every query; ``refs`` may be an index that is built already."""
     return decide(fraud_counts(queries, refs, strategy=strategy))
 
 
-def score_bodies(requests: DataFrame, refs: DataFrame, strategy: str = "auto") -> DataFrame:
+def score_bodies(requests: DataFrame, refs: DataFrame | Index, strategy: str = "auto") -> DataFrame:
     """Decisions on (request_id, body) rows, malformed bodies included."""
     return score(to_queries(parse_compatible(requests), "request_id"), refs, strategy)
 
@@ -34,10 +34,11 @@ def score_stream(queries: DataFrame, refs: DataFrame, sink: Callable[[DataFrame,
     """Score a stream of queries batch by batch.
 
     A ranking window can't run on a stream itself; each micro-batch is a bounded table in which it
-    can.  With a sink that overwrites its batch number's output, a replayed batch changes nothing.
+    can.  References are made ready once, before the first batch.  With a sink that overwrites its batch number's output, a replayed batch changes nothing.
     """
+    index = build(refs, strategy=strategy)
     return (
-        queries.writeStream.foreachBatch(lambda batch, number: sink(score(batch, refs, strategy), number))
+        queries.writeStream.foreachBatch(lambda batch, number: sink(score(batch, index), number))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 

@@ -15,6 +15,7 @@ from spanfold.sources.references import index_references, read_index, read_refer
 from spanfold.sources.requests import http_requests, parse_body, parse_compatible, parse_native
 from spanfold.streaming.scoring import nearest_in_row, score_bodies, score_stream, to_queries
 
+#: One sample request and its quantised vector (fixed values).
 REQUEST = {
     "id": "tx-3576980410", "transaction": {"amount": 384.88, "installments": 3, "requested_at": "2026-03-11T20:23:35Z"},
     "customer": {"avg_amount": 769.76, "tx_count_24h": 3, "known_merchants": ["MERC-009", "MERC-001", "MERC-001"]},
@@ -194,7 +195,52 @@ def test_stream_equals_batch(spark, refs, tmp_path):
     assert sorted(map(tuple, nearest_in_row(queries, refs).collect())) == wanted
 
 
-def test_two_phase_prunes_and_uses_no_cartesian_product(spark, refs):
-    queries = to_queries(parse_compatible(bodies(spark, json.dumps(REQUEST))), "request_id")
-    plan = knn.neighbours_two_phase(queries, refs, zone_map(refs))._jdf.queryExecution().toString()
+def clustered(spark, n, m, seed=3):
+    """n references and m queries about fifty centres, many of them equal."""
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(0, 10_000, (50, 14))
+    points = np.clip(centres[rng.integers(0, 50, n + m)] + rng.integers(-300, 300, (n + m, 14)), 0, 10_000)
+    points[: n // 3] = points[0]
+    rows = [[int(x) for x in p] for p in points]
+    kinds = ", ".join(f"{q} int" for q in QUANTISED)
+    refs = spark.createDataFrame([(i, i % 2, *p) for i, p in enumerate(rows[:n])], f"ref_idx long, label int, {kinds}").withColumn("pkey", partition_key())
+    queries = spark.createDataFrame([(i, *p) for i, p in enumerate([*rows[n:], rows[0]])], f"query_id long, {kinds}").withColumn("pkey", partition_key())
+    return refs, queries
+
+
+def test_boxes_prune_and_no_box_is_hot(spark):
+    refs, queries = clustered(spark, 6000, 60)
+    index = knn.Boxes(refs, 5, QUANTISED, leaf=32)
+    sizes = index.refs.groupBy("box").count()
+    compared = index.asked(queries).join(sizes, "box").agg(F.sum("count")).first()[0]
+    assert compared * 5 <= 6000 * 61 and sizes.agg(F.max("count")).first()[0] <= 32
+    found = sorted(map(tuple, index.neighbours(queries).collect()))
+    assert found == sorted(map(tuple, knn.neighbours(queries, refs, strategy="brute").collect()))
+    plan = index.neighbours(queries)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "WindowGroupLimit" in plan
+
+
+def test_boxes_from_a_sample_and_keys_it_does_not_know(spark):
+    refs, queries = clustered(spark, 900, 40)
+    index = knn.Boxes(refs, 5, QUANTISED, leaf=8, sample=40)
+    assert sorted(map(tuple, index.neighbours(queries).collect())) == sorted(map(tuple, knn.neighbours(queries, refs, strategy="brute").collect()))
+
+
+@pytest.mark.parametrize("values", [[], [3.0], [1.0, 2.0], [5.0] * 9, list(range(1000)), [0.1 * i * i for i in range(777)] + [None, float("nan")], [1e300, -1e300, 0.0]])
+def test_percentile_is_exact(spark, monkeypatch, values):
+    monkeypatch.setattr(evaluate, "_SORTED", 7)
+    monkeypatch.setattr(evaluate, "_PARTS", 4)
+    frame = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double")
+    plain = [v for v in values if v is not None and v == v]
+    for share in (0.0, 0.5, 0.99, 1.0):
+        found = evaluate.percentile(frame, "v", share)
+        assert found == (pytest.approx(np.quantile(plain, share)) if plain else None)
+
+
+def test_test_files_and_reports(spark, tmp_path):
+    entries = [{"request": {**REQUEST, "id": f"t{i}"}, "expected_approved": i != 1} for i in range(3)]
+    (tmp_path / "test.json").write_text(json.dumps({"stats": {"total": 3}, "entries": entries}, indent=1))
+    found = evaluate.read_test_data(spark, str(tmp_path / "test.json")).collect()
+    assert [json.loads(r.request)["id"] for r in found] == ["t0", "t1", "t2"] and [r.expected_approved for r in found] == [True, False, True]
+    evaluate.write_report(spark.range(1), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 1
