@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanfold.llm.common import long_id
+
 #: Strings that steer a model; texts must not be able to form them.
 CONTROL = ("[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>")
 #: Prefixes are rendered whole, however long.  Only a template declared ``independent_turns``, whose
@@ -60,7 +62,7 @@ class Incremental:
     def __init__(self, render: Render, segment: int | None = None):
         self.render, self.segment = render, segment
         self.turns: list[tuple[str, str]] = []
-        self.before, self.rewrites = "", False
+        self.before, self.rewrites, self.grown = "", False, 0
 
     def add(self, role: str, text: str) -> str:
         """What the turn adds to the output; a template that rewrites history sets ``rewrites``."""
@@ -73,12 +75,13 @@ class Incremental:
         if not now.startswith(self.before):
             self.rewrites = True
             same = next((i for i, (a, b) in enumerate(zip(self.before, now)) if a != b), min(same, len(now)))
+        self.grown = len(now) - len(self.before)
         self.before = now
         return now[same:]
 
 
-_SCHEMA = "conv_id long, turn_index long, start long, end long, text_start long, text_end long, in_loss boolean, rewrites boolean, piece string"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string()]
+_SCHEMA = "conv_id long, turn_index long, start long, end long, text_start long, text_end long, in_loss boolean, rewrites boolean, chars long, piece string"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.string()]
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
@@ -91,10 +94,14 @@ def _render(render: Render, segment: int | None):
                 if at != (conv,):
                     at, conversation, index, length = (conv,), Incremental(render, segment), 0, 0
                 piece = conversation.add(role, text)
-                read = read_turn(piece)
-                spans = (length + read[2], length + read[3]) if read else (None, None)
-                rows.append((conv, index, length, length + len(piece), *spans, role == "assistant", conversation.rewrites, piece))
-                index, length = index + 1, length + len(piece)
+                length += conversation.grown
+                start, read = length - len(piece), read_turn(piece)
+                if conversation.rewrites:  # a place in one output is none in another
+                    spans = (None, None, None, None)
+                else:
+                    spans = (start, length, *((start + read[2], start + read[3]) if read else (None, None)))
+                rows.append((conv, index, *spans, role == "assistant", conversation.rewrites, length, piece))
+                index += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _KINDS)], names=_NAMES)
 
@@ -107,7 +114,9 @@ def format_conversations(conversations: DataFrame, render: Render = template, se
     ``piece`` is what the turn adds to its conversation's output, ``start`` and ``end`` its span in
     code points there, ``text_start`` and ``text_end`` the span of its escaped text (null where the
     piece isn't in the default template's form), ``in_loss`` whether that text is trained on
-    (assistant turns), ``rewrites`` whether some prefix up to here was rewritten.
+    (assistant turns), ``rewrites`` whether some prefix up to here was rewritten, ``chars`` the
+    length of the output up to here.  From a rewritten prefix on all spans are null, and ``piece``
+    is what follows the part that both outputs begin with.
 
     Turns are ordered by turn (null first), then role and text, so ties and repeated rows have a
     fixed order; null roles and texts are empty; null conv_id is a conversation of its own.  Other
@@ -120,7 +129,7 @@ def format_conversations(conversations: DataFrame, render: Render = template, se
     """
     stable = getattr(render, "independent_turns", False)
     rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        long_id(conversations, "conv_id"), F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
@@ -133,10 +142,10 @@ class _Digest:
         self.n = self.loss_chars = self.chars = 0
         self.rewrites = False
 
-    def add(self, piece: str, length: int, span: tuple[int | None, int | None], in_loss: bool, rewrites: bool) -> None:
+    def add(self, piece: str, chars: int, span: tuple[int | None, int | None], in_loss: bool, rewrites: bool) -> None:
         role, text, _, _ = read_turn(piece) or ("", piece, 0, 0)
         self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        self.n, self.chars, self.rewrites = self.n + 1, self.chars + length, rewrites
+        self.n, self.chars, self.rewrites = self.n + 1, chars, rewrites
         if in_loss and span[0] is not None:
             trained = unescape(piece[span[0] : span[1]])
             self.loss.update(trained.encode("utf-8", "surrogatepass"))
@@ -162,7 +171,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     done.append((conv, digest))
                 conv, digest = r["conv_id"], _Digest()
             span = (r["text_start"] - r["start"], r["text_end"] - r["start"]) if r["text_start"] is not None else (None, None)
-            digest.add(r["piece"], r["end"] - r["start"], span, r["in_loss"], r["rewrites"])
+            digest.add(r["piece"], r["chars"], span, r["in_loss"], r["rewrites"])
         if done:
             yield rows_of(done)
     if digest:
@@ -172,6 +181,7 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(formatted: DataFrame) -> DataFrame:
     """One row for each conversation, read from the output of format_conversations alone.
 
-    Turns, text under the loss mask and lengths in code points; digests are fed turn by turn.
+    Turns, text under the loss mask and lengths in code points; digests are fed turn by turn.  A
+    conversation that its template rewrites has no loss text from the first rewritten turn on.
     """
     return formatted.mapInArrow(_read_back, _DIGEST)

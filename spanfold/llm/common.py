@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LETTERS = b"abcdefghijklmnopqrstuvwxyz"
+from spanfold.sources.scratch import remove_at_exit, shared_root
+
 _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32
     for c in range(256)
@@ -58,29 +57,20 @@ def as_bytes(column: str) -> F.Column:
     return F.col(column).cast("string").cast("binary")
 
 
-def _shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where one machine runs everything."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    return tempfile.mkdtemp(prefix="spanfold-")
-
-
 def checkpoint(frame: DataFrame) -> DataFrame:
     """Cut lineage in the folder of spark.checkpoint.dir."""
     context = frame.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(_shared_root(frame.sparkSession))
+        context.setCheckpointDir(shared_root(frame.sparkSession))
+        remove_at_exit(frame.sparkSession, context._jsc.sc().getCheckpointDir().get())
     return frame.checkpoint(eager=True)
 
 
-def shared_folder(spark: SparkSession, prefix: str) -> str:
-    """A new path in the folder that the cluster shares."""
-    return f"{_shared_root(spark)}/{prefix}-{uuid.uuid4().hex}"
+def renamed(frame: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame under names that no other column has, and those names by the old ones."""
+    names = {c: f"_c{i}" for i, c in enumerate(frame.columns)}
+    return frame.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in whatever store its path names."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def restored(frame: DataFrame, names: dict[str, str]) -> DataFrame:
+    return frame.select(*[F.col(n).alias(c) for c, n in names.items()])

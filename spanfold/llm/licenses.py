@@ -1,22 +1,25 @@
 """Fuzzy search for short licence notices.
 
-A notice that occurs with at most k edits contains one of its k + 1 pieces unchanged (pigeonhole),
-so an automaton over all pieces finds every candidate place exactly.  The regex library's
-bounded-error matching then verifies the notice around each candidate and reports its span.
+A notice is a run of parts, each with an edit bound of its own; words that decide the licence have
+the bound zero.  A part found with at most k edits contains one of its k + 1 pieces unchanged
+(pigeonhole), so an automaton over the pieces of each notice's longest part finds every candidate
+place exactly.  The regex library's bounded-error matching then verifies the notice around each
+candidate and reports its span.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from spanfold.llm.common import as_bytes, folded_words, merged
+from spanfold.llm.common import as_bytes, folded_words, long_id, merged
 
 #: Exact phrases in folded words, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -24,24 +27,31 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 
 @dataclass(frozen=True)
 class Notice:
-    """``text`` in folded words, found with at most ``edits`` character edits."""
+    """Parts in folded words, each found with at most so many character edits, one space between them."""
 
-    text: str
     label: str
-    edits: int
+    parts: tuple[tuple[str, int], ...]
+
+    @property
+    def text(self) -> str:
+        return " ".join(text for text, _ in self.parts)
+
+    @property
+    def edits(self) -> int:
+        return sum(edits for _, edits in self.parts)
 
 
 NOTICES = (
-    Notice("licensed under the apache license version 2 0", "apache-2.0", 4),
-    Notice("released under the mit license", "mit", 3),
-    Notice("permission is hereby granted free of charge to any person", "mit", 5),
-    Notice("gnu general public license", "gpl", 2),
-    Notice("gnu lesser general public license", "lgpl", 3),
-    Notice("redistribution and use in source and binary forms", "bsd", 4),
-    Notice("mozilla public license", "mpl", 2),
-    Notice("creative commons attribution", "cc-by", 2),
-    Notice("this work is licensed under", "license-notice", 2),
-    Notice("all rights reserved", "reserved", 1),
+    Notice("apache-2.0", (("licensed under the", 3), ("apache", 0), ("license version", 2), ("2 0", 0))),
+    Notice("mit", (("released under the", 3), ("mit", 0), ("license", 1))),
+    Notice("mit", (("permission is hereby granted free of charge to any person", 5),)),
+    Notice("gpl", (("gnu", 0), ("general", 1), ("public license", 2))),
+    Notice("lgpl", (("gnu", 0), ("lesser", 0), ("general public license", 3))),
+    Notice("bsd", (("redistribution and use in source and binary forms", 4),)),
+    Notice("mpl", (("mozilla", 0), ("public license", 2))),
+    Notice("cc-by", (("creative commons", 2), ("attribution", 0))),
+    Notice("license-notice", (("this work is licensed under", 2),)),
+    Notice("reserved", (("all rights reserved", 1),)),
 )
 
 
@@ -51,28 +61,34 @@ class NoticeFinder:
     def __init__(self, notices: Sequence[Notice] = NOTICES):
         self.notices = list(notices)
         self.seeds = ahocorasick.Automaton()
-        places: dict[str, list[tuple[int, int]]] = {}
+        places: dict[str, list[tuple[int, int, int]]] = {}
+        self.verify = []
         for number, notice in enumerate(self.notices):
-            pieces, size = notice.edits + 1, len(notice.text)
-            if size <= notice.edits:
-                raise ValueError(f"{notice.text!r} is not longer than its edits")
-            cuts = [size * i // pieces for i in range(pieces + 1)]
+            if any(len(text) <= edits for text, edits in notice.parts):
+                raise ValueError(f"a part of {notice.text!r} is not longer than its edits")
+            longest = max(range(len(notice.parts)), key=lambda i: len(notice.parts[i][0]) / (notice.parts[i][1] + 1))
+            before = sum(len(text) + 1 for text, _ in notice.parts[:longest])
+            (text, edits), slack = notice.parts[longest], sum(k for _, k in notice.parts[: longest + 1])
+            cuts = [len(text) * i // (edits + 1) for i in range(edits + 2)]
             for start, end in zip(cuts, cuts[1:]):
-                places.setdefault(notice.text[start:end], []).append((number, start))
+                places.setdefault(text[start:end], []).append((number, before + start, slack))
+            found = [regex.escape(t, literal_spaces=True) if not k else f"(?:{regex.escape(t, literal_spaces=True)}){{e<={k}}}" for t, k in notice.parts]
+            # A deciding word is a whole one.
+            first, last = "" if notice.parts[0][1] else "(?<![^ ])", "" if notice.parts[-1][1] else "(?![^ ])"
+            self.verify.append(regex.compile(f"(?e){first}{' '.join(found)}{last}"))
         for seed, uses in places.items():
             self.seeds.add_word(seed, (len(seed), uses))
         if places:
             self.seeds.make_automaton()
-        self.verify = [regex.compile(f"(?e)(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}") for n in self.notices]
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice, edits) in ``text``: the matches in each run of candidate windows."""
         windows: dict[int, list[tuple[int, int]]] = {}
         if self.notices:
             for last, (size, uses) in self.seeds.iter(text):
-                for number, offset in uses:
+                for number, offset, slack in uses:
                     notice = self.notices[number]
-                    begin = max(0, last - size + 1 - offset - notice.edits)
+                    begin = max(0, last - size + 1 - offset - slack)
                     windows.setdefault(number, []).append((begin, min(len(text), begin + len(notice.text) + 3 * notice.edits)))
         found = set()
         for number, runs in windows.items():
@@ -82,17 +98,24 @@ class NoticeFinder:
         return sorted(found)
 
 
+def word_starts(words: Sequence[bytes] | Sequence[str]) -> list[int]:
+    """Where each word starts when they are joined by spaces."""
+    return list(accumulate((len(w) + 1 for w in words), initial=0))[:-1]
+
+
 def base_places(words: list[bytes], text: bytes) -> list[tuple[int, str]]:
     """(first word, label) of every place where a base phrase stands; ``text`` is the joined words."""
-    found = []
-    padded = b" " + text + b" "
+    padded, found = b" " + text + b" ", []
     for phrase, label in BASE:
         needle = b" " + phrase.encode() + b" "
         at = padded.find(needle)
         while at >= 0:
-            found.append((padded.count(b" ", 0, at), label))
+            found.append((at, label))
             at = padded.find(needle, at + 1)
-    return sorted(found)
+    if not found:
+        return []
+    starts = word_starts(words)
+    return sorted((bisect_right(starts, at) - 1, label) for at, label in found)
 
 
 _SCHEMA = (
@@ -117,11 +140,13 @@ def _scan(notices: Sequence[Notice]):
                 base = base_places(words, text)
                 joined = text.decode("utf-8", "replace")
                 spans, best = [], 1.0 if base else 0.0
-                for start, end, number, edits in finder.find(joined):
+                matches = finder.find(joined)
+                starts = word_starts(joined.split(" ")) if matches else []
+                for start, end, number, edits in matches:
                     notice = finder.notices[number]
                     best = max(best, 1 - edits / len(notice.text))
-                    first = joined.count(" ", 0, start)
-                    last = first + joined.count(" ", start, end)
+                    # A span that begins or ends with an edited space belongs to the words beside it.
+                    first, last = bisect_right(starts, start) - 1, bisect_right(starts, max(start, end - 1)) - 1
                     spans.append({"label": notice.label, "first_word": first, "end_word": last + 1, "edits": edits, "notice": notice.text})
                 of_base = sorted({label for _, label in base})
                 labels = sorted({*of_base, *(s["label"] for s in spans)})
@@ -145,4 +170,4 @@ def scan_licenses(docs: DataFrame, notices: Sequence[Notice] = NOTICES) -> DataF
 
     A single pass without any shuffle; the notices are a fixed list in the task closure.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text")).mapInArrow(_scan(tuple(notices)), _SCHEMA)
+    return docs.select(long_id(docs), as_bytes("text").alias("text")).mapInArrow(_scan(tuple(notices)), _SCHEMA)

@@ -9,7 +9,6 @@ form a tape of its repetitions, and each arc to a source takes a stretch of that
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -18,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import as_bytes, checkpoint, spaced_words
+from spanfold.llm.common import as_bytes, checkpoint, long_id, renamed, restored, spaced_words
 
 #: The flow is solved on the driver; more patterns than this are refused rather than collected.
 MAX_PATTERNS = 50_000
@@ -26,7 +25,11 @@ SEED = 17
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> tuple[list[int], int]:
-    """(flow on each arc, total) of a cheapest maximum flow; arcs are (from, to, capacity, cost >= 0)."""
+    """(flow on each arc, total) of a cheapest maximum flow; arcs are (from, to, capacity, cost >= 0).
+
+    Shortest distances set node potentials; then blocking flows fill every path of that distance at
+    once, so searches number as many as there are different path costs, not as paths.
+    """
     head: list[list[int]] = [[] for _ in range(n)]
     to, left, cost = [], [], []
     for a, b, capacity, price in arcs:
@@ -38,27 +41,54 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, si
     potential, total = [0] * n, 0
     while True:
         far: list[float] = [float("inf")] * n
-        via, far[source], queue = [-1] * n, 0, [(0, source)]
+        far[source], queue = 0, [(0, source)]
         while queue:
             d, x = heapq.heappop(queue)
             if d > far[x]:
                 continue
             for e in head[x]:
                 if left[e] and (nd := d + cost[e] + potential[x] - potential[to[e]]) < far[to[e]]:
-                    far[to[e]], via[to[e]] = nd, e
+                    far[to[e]] = nd
                     heapq.heappush(queue, (nd, to[e]))
         if far[sink] == float("inf"):
             return [left[2 * i + 1] for i in range(len(arcs))], total
         potential = [p + min(d, far[sink]) for p, d in zip(potential, far)]
-        push, x = float("inf"), sink
-        while x != source:
-            push, x = min(push, left[via[x]]), to[via[x] ^ 1]
-        x = sink
-        while x != source:
-            left[via[x]] -= push
-            left[via[x] ^ 1] += push
-            x = to[via[x] ^ 1]
-        total += push
+        tight = lambda e, x: left[e] and cost[e] + potential[x] == potential[to[e]]
+        while True:
+            level, layer = [-1] * n, [source]
+            level[source] = 0
+            while layer and level[sink] < 0:
+                after = []
+                for x in layer:
+                    for e in head[x]:
+                        if level[to[e]] < 0 and tight(e, x):
+                            level[to[e]] = level[x] + 1
+                            after.append(to[e])
+                layer = after
+            if level[sink] < 0:
+                break
+            at, path, x = [0] * n, [], source
+            while True:
+                if x == sink:
+                    push = min(left[e] for e in path)
+                    for e in path:
+                        left[e] -= push
+                        left[e ^ 1] += push
+                    total += push
+                    first = next(i for i, e in enumerate(path) if not left[e])
+                    x = to[path[first] ^ 1]
+                    del path[first:]
+                    continue
+                while at[x] < len(head[x]) and not (level[to[head[x][at[x]]]] == level[x] + 1 and tight(head[x][at[x]], x)):
+                    at[x] += 1
+                if at[x] < len(head[x]):
+                    path.append(head[x][at[x]])
+                    x = to[path[-1]]
+                elif path:
+                    x = to[path.pop() ^ 1]
+                    at[x] += 1
+                else:
+                    break
 
 
 def capped_shares(sizes: dict, weights: dict, share: Fraction, most: int) -> dict:
@@ -114,12 +144,17 @@ def route_words(patterns: dict[str, tuple[tuple, int]], quotas: dict, most: int)
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes = pa.array([len(spaced_words(x.as_py())) for x in batch.column("text")], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("members"), sizes], names=["doc_id", "members", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), batch.column("members"), sizes], names=["doc_id", "name", "members", "size"])
+
+
+def _name(doc_id: F.Column, text: F.Column) -> F.Column:
+    """What orders a document: its id, or a digest of its text where it has none."""
+    return F.coalesce(doc_id.cast("string"), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
 
 
-def _place(seed: int) -> F.Column:
+def _place(seed: int, name: F.Column) -> F.Column:
     """A document's seeded place in the order of its pattern; its first three digits are its bucket."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name))
 
 
 def _key(members: F.Column) -> F.Column:
@@ -127,13 +162,13 @@ def _key(members: F.Column) -> F.Column:
 
 
 def measure(docs: DataFrame, members: F.Column) -> DataFrame:
-    """doc_id, members, size of every row; members are distinct and sorted, null last."""
+    """doc_id, name, members, size of every row; members are distinct and sorted, null last."""
     picked = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        long_id(docs), _name(long_id(docs), F.col("text")).alias("name"),
         F.array_sort(F.array_distinct(F.coalesce(members, F.array(F.lit(None).cast("string"))))).alias("members"),
         as_bytes("text").alias("text"),
     )
-    return picked.mapInArrow(_sizes, "doc_id long, members array<string>, size long")
+    return picked.mapInArrow(_sizes, "doc_id long, name string, members array<string>, size long")
 
 
 @dataclass(frozen=True)
@@ -147,13 +182,13 @@ class Plan:
 
 
 def plan_mix(units: DataFrame, weights: Callable[[list], dict], share: Fraction, most: int, seed: int = SEED) -> Plan:
-    """Solve the mix for measured ``units`` (doc_id, members, size).
+    """Solve the mix for measured ``units`` (doc_id, name, members, size).
 
     Only sums are collected: one row for each pattern, then for each end of a route the bucket and
     the document in which it falls.  Buckets split every pattern by the seeded order, so no hot
     source is ever sorted in one task.
     """
-    units = units.select(_key(F.col("members")).alias("pattern"), "members", "size", _place(seed).alias("place")).withColumn("bucket", F.substring("place", 1, 3))
+    units = units.select(_key(F.col("members")).alias("pattern"), "members", "size", _place(seed, F.col("name")).alias("place")).withColumn("bucket", F.substring("place", 1, 3))
     sums = units.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.first("members").alias("members"))
     sums = checkpoint(sums)
     rows = sums.groupBy("pattern").agg(F.sum("words").alias("words"), F.first("members").alias("members")).limit(MAX_PATTERNS + 1).collect()
@@ -198,7 +233,7 @@ def _taken(bound: F.Column, size: F.Column, place: F.Column) -> F.Column:
 def take(units: DataFrame, plan: Plan) -> DataFrame:
     """doc_id, members, size, taken, by_source (source, words) of every measured unit."""
     spark = units.sparkSession
-    units = units.withColumn("pattern", _key(F.col("members"))).withColumn("place", _place(plan.seed))
+    units = units.withColumn("pattern", _key(F.col("members"))).withColumn("place", _place(plan.seed, F.col("name")))
     joined = units.join(F.broadcast(_bounds_frame(spark, plan)), "pattern", "left")
     ends = F.transform("bounds", lambda b: F.struct(b["source"].alias("source"), _taken(b, F.col("size"), F.col("place")).alias("end")))
     joined = joined.withColumn("ends", ends)
@@ -219,9 +254,10 @@ def mix_single_source(docs: DataFrame, weights=repeating_weights, share: Fractio
 
     ``size`` counts words between ASCII white space (null text: 0).  Each source is one set of
     documents here, null a source of its own, so the flow meets every target whole: the one
-    document at a stretch's end is cut to the words still owed, and rows that share an id and that
-    place share the cut.  Empty texts take nothing; an empty table gives an empty table; the
-    order depends on ids and the seed alone, so reruns agree.
+    document at a stretch's end is cut to the words still owed, and rows that share that place
+    (equal ids, or no id and equal texts) share the cut.  Empty texts take nothing; an empty table
+    gives an empty table; other columns are ignored; the order depends on ids, texts without an id
+    and the seed alone, so reruns agree.
     """
     units = checkpoint(measure(docs, F.array(F.col("source").cast("string"))))
     plan = plan_mix(units, weights, share, most, seed)
@@ -232,43 +268,23 @@ def mix_single_source(docs: DataFrame, weights=repeating_weights, share: Fractio
     return got.select("doc_id", "size", "source_size", "target", "taken", "by_source")
 
 
-def _head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        at = batch.schema.get_field_index("text")
-        for text, within, words in zip(batch.column("text"), batch.column("_within").to_pylist(), batch.column("_words").to_pylist()):
-            raw = text.as_py() or ""
-            size = len(spaced_words(raw.encode()))
-            wanted = within if size == words else size * within // words if words else 0
-            end = 0
-            for i, match in enumerate(re.finditer(r"[^\x20\x09-\x0D]+", raw)):
-                if i >= wanted:
-                    break
-                end = match.end()
-            texts.append(raw[:end])
-        out = batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["_within", "_words"])
-        yield out
-
-
 def repeat_documents(docs: DataFrame, weights=repeating_weights, share: Fraction = Fraction(3, 2), most: int = 2, seed: int = SEED) -> DataFrame:
-    """``docs`` (with columns doc_id, text, source, n_chars) as the mix takes them.
+    """The rows of ``docs``, in its own columns, as often as the mix takes them.
 
-    A document stands once for each whole repetition; the one at a stretch's end has a further row
-    with its first words only.  Documents the mix doesn't take are gone.  Columns are those of
-    ``docs``; n_chars follows a cut text.
+    Texts stay whole: the document at the end of a source's stretch stands once more if at least
+    half of its words are owed still, so a source's words are within half a document of its target.
+    Documents the mix doesn't take are gone; null sources are a source; rows without an id are
+    placed by their texts; rows at one place (equal ids, or no id and equal texts) are treated
+    alike; an empty table gives an empty table.
     """
     units = checkpoint(measure(docs, F.array(F.col("source").cast("string"))))
     plan = plan_mix(units, weights, share, most, seed)
     last = [(k, *b[-1][1:]) for k, b in plan.bounds.items()]
-    ends = docs.sparkSession.createDataFrame(last, "_pattern string, _epoch long, _end string, _within long, _words long")
-    placed = docs.withColumn("_pattern", _key(F.array(F.col("source").cast("string")))).withColumn("_place", _place(seed))
-    placed = placed.join(F.broadcast(ends), "_pattern")
-    copies = F.col("_epoch") + F.when(F.col("_place") < F.col("_end"), 1).otherwise(0)
-    whole = placed.where(copies > 0).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))))
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    cut = placed.where("_place = _end and _within > 0").select(*own, "_within", "_words")
-    cut = cut.mapInArrow(_head, docs.schema).where(F.length("text") > 0)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.length("text").cast(kind))
-    return whole.select(*own).unionByName(cut.select(*own))
+    ends = docs.sparkSession.createDataFrame(last, "pattern string, epoch long, end string, within long, words long")
+    held, names = renamed(docs)
+    held = held.withColumn("pattern", _key(F.array(F.col(names["source"]).cast("string"))))
+    held = held.withColumn("place", _place(seed, _name(F.col(names["doc_id"]).cast("long"), F.col(names["text"]))))
+    more = F.expr("place < end or place = end and 2 * within >= words and within > 0")
+    copies = (F.col("epoch") + F.when(more, 1).otherwise(0)).cast("int")
+    found = held.join(F.broadcast(ends), "pattern").where(copies > 0).withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    return restored(found, names)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanfold.llm.common import long_id
+
 ROW = 4_096
 #: A task packs at most this many tokens at a time, which bounds its memory.
 BLOCK = 4_000_000
@@ -104,20 +106,21 @@ def best_fit(sizes: list[int], row: int) -> list[list[int]]:
 
 
 SCHEMA = (
-    "block string, seq long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_starts array<int>, doc_ids array<long>, pieces array<int>"
+    "block string, seq long, n_tokens int, input_ids binary, cu_seqlens array<int>, position_starts array<int>, doc_ids array<long>, doc_rows array<long>, pieces array<int>"
 )
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+_TYPES = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
 
-def pack_block(pieces: list[tuple[int | None, int, np.ndarray]], row: int, pad: int) -> Iterator[tuple]:
-    """Packed rows of (doc_id, number of the piece, ids): ids padded to ``row``, and their layout."""
-    for found in best_fit([len(ids) for _, _, ids in pieces], row):
+def pack_block(pieces: list[tuple[int | None, int, int, np.ndarray]], row: int, pad: int) -> Iterator[tuple]:
+    """Packed rows of (doc_id, number of its row, number of the piece, ids): ids padded to ``row``, and their layout."""
+    for found in best_fit([len(piece[3]) for piece in pieces], row):
         ids = np.full(row, pad, np.uint16 if pad < 65_536 else np.uint32)
-        ends = np.cumsum([0, *(len(pieces[i][2]) for i in found)])
+        ends = np.cumsum([0, *(len(pieces[i][3]) for i in found)])
         for i, start, end in zip(found, ends, ends[1:]):
-            ids[start:end] = pieces[i][2]
-        yield int(ends[-1]), ids.tobytes(), ends.tolist(), [pieces[i][1] * row for i in found], [pieces[i][0] for i in found], [pieces[i][1] for i in found]
+            ids[start:end] = pieces[i][3]
+        names, rows, numbers = ([pieces[i][k] for i in found] for k in range(3))
+        yield int(ends[-1]), ids.tobytes(), ends.tolist(), [n * row for n in numbers], names, rows, numbers
 
 
 def _pack(encoder: Callable[[], Callable[[str], np.ndarray]], row: int, end: int, block: int):
@@ -125,7 +128,7 @@ def _pack(encoder: Callable[[], Callable[[str], np.ndarray]], row: int, end: int
         from pyspark import TaskContext
 
         encode, part = encoder(), TaskContext.get().partitionId()
-        pieces, held, number, seq = [], 0, 0, 0
+        pieces, held, number, seq, doc_row = [], 0, 0, 0, part << 33
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal pieces, held, number, seq
@@ -141,10 +144,11 @@ def _pack(encoder: Callable[[], Callable[[str], np.ndarray]], row: int, end: int
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(end)).astype(np.uint16 if end < 65_536 else np.uint32)
                 for i, at in enumerate(range(0, len(ids), row)):
-                    pieces.append((doc_id, i, ids[at : at + row]))
-                    held += len(pieces[-1][2])
+                    pieces.append((doc_id, doc_row, i, ids[at : at + row]))
+                    held += len(pieces[-1][3])
                     if held >= block:
                         yield from flush()
+                doc_row += 1
         if pieces:
             yield from flush()
 
@@ -159,13 +163,15 @@ def pack_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, row: int = ROW, e
     give all its ids again.  Of each packed row: ``input_ids`` (uint16 while ``end`` fits, else
     uint32; padded with ``end``), ``n_tokens`` that are not padding, ``cu_seqlens`` (0 and the end
     of each piece, where positions reset), ``position_starts`` (the position in its document at
-    which each piece starts), ``doc_ids`` and ``pieces``.  ``block`` and ``seq`` name the row.
-    Repeated ids are packed once for each row; null ids stay null; an empty table gives no rows.
+    which each piece starts), ``doc_ids``, ``doc_rows`` and ``pieces``.  ``block`` and ``seq`` name
+    the packed row.  ``doc_rows`` numbers the rows of ``docs`` (not densely), so the pieces of rows
+    that share an id, or have none, are told apart.  Repeated rows are packed once each; null ids
+    stay null; other columns are ignored; an empty table gives no rows.
 
     Every task packs its own documents in blocks of at most ``block`` tokens and a row, so nothing
     is shuffled and memory is bounded; at most one row of a block is badly filled.
     """
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    picked = docs.select(long_id(docs), F.col("text").cast("string").alias("text"))
     return picked.mapInArrow(_pack(_encoder(vocabulary), row, end, block), SCHEMA)
 
 
@@ -182,3 +188,13 @@ def position_ids(cu_seqlens: list[int], starts: list[int] | None = None) -> np.n
 def write_packed(packed: DataFrame, path: str) -> None:
     """Write packed rows as Parquet; ``input_ids`` of a file, one under another, are its id matrix."""
     packed.write.mode("errorifexists").parquet(path)
+
+
+def read_matrix(rows: pa.Table, row: int = ROW, end: int = END) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(id matrix, cumulative segment lengths of each row, position matrix reset at each segment) of written rows."""
+    ids = np.frombuffer(b"".join(rows.column("input_ids").to_pylist()), np.uint16 if end < 65_536 else np.uint32).reshape(-1, row)
+    lengths = [np.array(x, np.int32) for x in rows.column("cu_seqlens").to_pylist()]
+    positions = np.zeros(ids.shape, np.int32)
+    for place, cuts in zip(positions, lengths):
+        place[: cuts[-1]] = position_ids(cuts.tolist())
+    return ids, lengths, positions

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import as_bytes, spaced_words
+from spanfold.llm.common import as_bytes, long_id, spaced_words
 
 #: The threshold's place on the 0..1 scale.
 THRESHOLD = 0.7
@@ -73,8 +73,28 @@ class Ranking:
         return 1 / (1 + np.exp(-z))
 
 
-def fit_pairs(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 17, ridge: float = 1e-3, rounds: int = 60) -> Ranking:
-    """Bradley-Terry strengths by Newton steps; the cut is the score quantile of fewest mistakes.
+def differences(z: np.ndarray, label: np.ndarray, pairs: int, seed: int) -> np.ndarray:
+    """Features of a preferred document less those of a rejected one, for ``pairs`` drawn pairs."""
+    good, bad, rng = np.flatnonzero(label == 1), np.flatnonzero(label == 0), np.random.default_rng(seed)
+    return z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
+
+
+def bradley_terry(d: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
+    """Weights of the least mean logistic loss on differences, plus half the ridge times their squares, by Newton steps."""
+    w = np.zeros(d.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(d @ w).clip(-30, 30)))
+        gradient = d.T @ (p - 1) / len(d) + ridge * w
+        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(len(w))
+        step = np.linalg.solve(hessian, gradient)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def fit_pairs(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int = 17) -> Ranking:
+    """Bradley-Terry strengths; the cut is the score quantile of fewest mistakes.
 
     With labels of one class only there is nothing to prefer: all weights are zero and the cut
     lets everything (only 1) or nothing (only 0) pass; no label at all lets everything pass.
@@ -84,17 +104,8 @@ def fit_pairs(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS, seed: int =
     if not len(good) or not len(bad):
         cut = 10.0 if len(bad) else -10.0
         return Ranking(tuple(mean), tuple(scale), (0.0,) * len(mean), cut)
-    z, rng = ((x - mean) / scale).clip(-8, 8), np.random.default_rng(seed)
-    d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
-    w = np.zeros(d.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(d @ w).clip(-30, 30)))
-        gradient = d.T @ (p - 1) / pairs + ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / pairs + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
+    z = ((x - mean) / scale).clip(-8, 8)
+    w = bradley_terry(differences(z, label, pairs, seed))
     strength = z @ w
     levels = np.unique(np.quantile(strength, np.linspace(0, 1, 2001)))
     middles = (levels[:-1] + levels[1:]) / 2 if len(levels) > 1 else levels
@@ -113,12 +124,15 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Ranking:
     """Learn from ``labels`` (doc_id, label 0 or 1) at most ``max_labelled`` labelled documents.
 
-    Rows without an id or with another label are not used; repeated labels count once each.
+    Rows without an id or with another label are not used; repeated labels count once; of documents
+    that share an id the text of least hash counts.  So the driver gets a vector for each chosen
+    label at most, however often its id stands in ``docs``.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    known = labels.select(long_id(labels), F.col("label").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").distinct()
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)  # a top-k: its rows are bounded
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_bytes("text").alias("text"))
-    rows = texts.join(F.broadcast(known), "doc_id").select("label", "text").mapInArrow(_vectors, "label int, x array<double>").collect()
+    texts = docs.select(long_id(docs), as_bytes("text").alias("text"))
+    chosen = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = chosen.select("label", "text").mapInArrow(_vectors, "label int, x array<double>").collect()
     x = np.array([r.x for r in rows], dtype=np.float64).reshape(-1, N_FEATURES)
     order = np.lexsort(x.T) if len(x) else []  # row order must not matter
     return fit_pairs(x[order], np.array([r.label for r in rows], dtype=int)[order])

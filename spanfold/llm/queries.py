@@ -42,7 +42,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

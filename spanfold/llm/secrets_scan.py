@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import checkpoint
+from spanfold.llm.common import checkpoint, long_id
 
 #: Kinds in the order of their spans at equal starts; the first three are strong.
 KINDS = ("assign", "access", "hex", "identifier", "key", "endpoint")
@@ -64,7 +64,7 @@ def _spans(kind: int, pattern: str, sure: F.Column, group: int = 0, least: int =
 def find_spans(docs: DataFrame) -> DataFrame:
     """doc_id, a digest of the text, and its strong and weak spans."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = docs.select(long_id(docs), text.alias("text"))
     has = lambda s: F.col("text").contains(s)
     found = {
         "assign": _spans(0, ASSIGN, F.col("text").rlike(ASSIGN), 2, 6),

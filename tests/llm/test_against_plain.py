@@ -4,10 +4,9 @@ import zlib
 
 import __spark_entry__ as entry
 import numpy as np
-import regex
 from helpers import DATA, duck
 from test_groups import plain_components, plain_fingerprint
-from test_scans import folded
+from test_scans import folded, stands
 
 from spanfold.llm import licenses, packing
 
@@ -23,14 +22,13 @@ def test_every_operator_is_registered_once():
 
 def test_licences(spark):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-    patterns = [(n, regex.compile(f"(?:{n.text}){{e<={n.edits}}}")) for n in licenses.NOTICES]
     found = {r.doc_id: r for r in entry.queries()["op2_licenses"](spark, DATA).collect()}
     assert len(found) == len(documents())
     for doc_id, text in documents():
         words = folded(text)
         places = sorted((i, label) for p, label in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
         r, joined = found[doc_id], " ".join(words)
-        labels = {label for _, label in places} | {n.label for n, p in patterns if p.search(joined)}
+        labels = {label for _, label in places} | {n.label for n in licenses.NOTICES if stands(n, joined)}
         assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(places), ",".join(sorted({label for _, label in places})))
         assert (r.first_word, r.last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
         assert r.labels == ",".join(sorted(labels)) and 0 <= r.score <= 1

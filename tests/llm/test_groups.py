@@ -104,7 +104,7 @@ def test_lines(spark, docs, empty, clashing):
         for number, line in enumerate(text.split("\n")):
             if not line.strip():
                 continue
-            near = any(line == e or len(line) >= 16 and len(e) >= 16 and abs(len(e) - len(line)) <= 1 and levenshtein(e, line) <= 1 for e in earlier)
+            near = any(line == e or abs(len(e) - len(line)) <= 1 and levenshtein(e, line) <= 1 for e in earlier)
             if not near:
                 kept.setdefault(doc_id, []).append(number)
             earlier.append(line)
@@ -112,12 +112,31 @@ def test_lines(spark, docs, empty, clashing):
     assert len(found) == 11
     for r in found:
         assert r.kept_lines == kept.get(r.doc_id, []), r
+    long = {r.doc_id: r.kept_lines for r in line_dedup.dedup_lines(spark.createDataFrame([(1, "ab\nac\nab\nlonger line\nlonger lines")], "doc_id long, text string"), least_chars=3).collect()}
+    assert long == {1: [0, 1, 3]}
     left = line_dedup.drop_lines(frame, line_dedup.dedup_lines(frame)).collect()
     assert {r.doc_id: r.text for r in left}[1] == "\n".join(x for i, x in enumerate(texts[1].split("\n")) if i in kept.get(1, []) or not x.strip())
     assert line_dedup.dedup_lines(empty).count() == 0
     assert sorted(map(tuple, line_dedup.dedup_lines(clashing).collect()), key=repr) == sorted(map(tuple, line_dedup.dedup_lines(docs).collect()), key=repr)
 
 
+def test_lines_of_any_ids(spark):
+    """Negative ids, the largest id, null ids and shared ids with different texts, beside clashing columns."""
+    most = 2**63 - 1
+    rows = [(-5, "one line here\ntwo lines there\nthird and last"), (-4, "two lines there\na fourth kind of line"), (most, "x marks\nno id at all"), (None, "no id at all\nnull only, first"), (None, "null only, second text\nx marks")]
+    rows += [(7, "shared id, one text\nx marks"), (7, "another text altogether\nx marks")]
+    frame = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, kept_lines int, _id int, text_key int")
+    found = {(r.doc_id, r.n_lines, tuple(r.kept_lines)) for r in line_dedup.dedup_lines(frame).collect()}
+    left = {(r.doc_id, r.text) for r in line_dedup.drop_lines(frame, line_dedup.dedup_lines(frame)).collect()}
+    assert line_dedup.drop_lines(frame, line_dedup.dedup_lines(frame)).columns == frame.columns
+    assert (-5, 3, (0, 1, 2)) in found and (-4, 2, (1,)) in found and (most, 2, (1,)) in found
+    assert {x[2] for x in found if x[0] is None} == {(1,), (0,)} and len([x for x in found if x[0] == 7]) == 2
+    assert (-4, "a fourth kind of line") in left and (None, "null only, first") in left and (None, "null only, second text") in left
+    assert sorted(t.count("x marks") for d, t in left if d == 7) == [0, 1] and (most, "no id at all") in left
+    with pytest.raises(TypeError, match="integer"):
+        line_dedup.dedup_lines(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_mix_of_single_sources(docs, rows, empty, clashing):
     found = mixing.mix_single_source(docs).collect()
     sizes = {}
@@ -136,20 +155,43 @@ def test_mix_of_single_sources(docs, rows, empty, clashing):
     assert {(r.taken, r.target) for r in mixing.mix_single_source(blank).collect()} == {(0, 0.0)}
 
 
-def test_repeated_documents_have_the_words_taken(docs, empty):
-    taken = {r.doc_id: r.taken for r in mixing.mix_single_source(docs.where("doc_id <> 2")).collect()}
-    out = mixing.repeat_documents(docs.where("doc_id <> 2"))
+def check_whole_documents(before, after, mixed):
+    """Texts stay whole; each stands as often as the mix took it, the one at a stretch's end rounded."""
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    rows, times = {(r.doc_id, r.text) for r in before.collect()}, {}
+    for r in after.collect():
+        assert (r.doc_id, r.text) in rows
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+    sizes = {d: size(t) for d, t in rows}
+    for r in mixed.collect():
+        assert not r.size or abs(times.get(r.doc_id, 0) - r.taken / sizes[r.doc_id]) <= 0.5
+
+
+def test_repeated_documents_have_the_words_taken(docs, empty, clashing):
+    unique = docs.where("doc_id <> 2")
+    out = mixing.repeat_documents(unique)
     assert out.columns == docs.columns
-    words = {}
-    for r in out.collect():
-        words[r.doc_id] = words.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
-        assert r.n_chars == len(r.text or "")
-    assert {d: n for d, n in words.items() if n} == {d: n for d, n in taken.items() if n}
+    check_whole_documents(unique, out, mixing.mix_single_source(unique))
+    names = clashing.withColumns({"_place": F.lit(5), "_pattern": F.lit("p"), "copy": F.lit(6), "within": F.lit(9)})
+    again = mixing.repeat_documents(names.where("doc_id <> 2"))
+    assert again.columns == names.columns and again.where("_place <> 5 or _pattern <> 'p' or copy <> 6 or within <> 9").count() == 0
+    assert sorted(map(repr, again.select(*docs.columns).collect())) == sorted(map(repr, out.collect()))
     assert mixing.repeat_documents(empty).count() == 0
 
 
+def test_rows_without_ids_are_mixed_one_by_one(spark):
+    rows = [(None, f"word{i} " * (5 + i % 3), "a") for i in range(300)] + [(i, "x y z", "b") for i in range(50)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix_single_source(frame).collect()
+    words = {s: sum(r.taken for r in mixed if (r.doc_id is None) == (s == "a")) for s in "ab"}
+    targets = {s: next(r.target for r in mixed if (r.doc_id is None) == (s == "a")) for s in "ab"}
+    assert all(abs(words[s] - targets[s]) <= 2 for s in "ab")
+    out = mixing.repeat_documents(frame)
+    assert abs(out.where("source = 'a'").agg(F.sum(F.size(F.split(F.trim("text"), " ")))).first()[0] - targets["a"]) <= 7
+
+
 def test_overlapping_sources_meet_quotas_cheaply(spark):
-    units = spark.createDataFrame([(i, (["a"], ["a", "b"], ["b", "c"])[i % 3], 10 + i % 7) for i in range(300)], "doc_id long, members array<string>, size long")
+    units = spark.createDataFrame([(i, str(i), (["a"], ["a", "b"], ["b", "c"])[i % 3], 10 + i % 7) for i in range(300)], "doc_id long, name string, members array<string>, size long")
     plan = mixing.plan_mix(units, lambda s: dict.fromkeys(s, 1), Fraction(1, 2), 2)
     got = mixing.take(units, plan).collect()
     by = {}
@@ -240,6 +282,38 @@ def test_escapes_and_rewriting_templates():
     assert shows_last.rewrites
 
 
+def test_templates_that_depend_on_earlier_turns(spark):
+    def alternating(turns):
+        """A template that shows the system prompt in every turn and insists on alternating roles."""
+        prompt = next((text for role, text in turns if role == "system"), "NONE")
+        said = [t for t in turns if t[0] != "system"]
+        if any(role != ("user", "assistant")[i % 2] for i, (role, _) in enumerate(said)):
+            raise ValueError("roles must alternate")
+        return "".join(f"<{prompt}|{role}>{text}\n" for role, text in said)
+
+    rows = [(1, 0, "system", "be kind")] + [(1, i, ("assistant", "user")[i % 2], f"t{i}") for i in range(1, 201)]
+    frame = spark.createDataFrame([(*r, 5, 6) for r in rows], "conv_id long, turn long, role string, text string, piece int, start int")
+    pieces = chat.format_conversations(frame, alternating).orderBy("turn_index").collect()
+    assert "".join(r.piece for r in pieces) == alternating([(role, text) for _, _, role, text in rows]) and not any(r.rewrites for r in pieces)
+    assert pieces[-1].end == pieces[-1].chars == len(alternating([(role, text) for _, _, role, text in rows]))
+
+
+def test_spans_of_rewriting_templates_are_null(spark):
+    frame = spark.createDataFrame([(1, i, "user", f"t{i}") for i in range(3)], "conv_id long, turn long, role string, text string")
+    counts = lambda turns: f"{len(turns)} turns: {turns[-1][1]}"
+    found = chat.format_conversations(frame, counts).orderBy("turn_index").collect()
+    assert [r.rewrites for r in found] == [False, True, True] and [r.start for r in found] == [0, None, None] and [r.end for r in found] == [11, None, None]
+    assert chat.read_back(chat.format_conversations(frame, counts)).first().formatted_chars == len("3 turns: t2")
+
+
+def test_chat_of_long_texts_and_empty_tables(spark):
+    text = "word [INST] \\ " * 200_000
+    frame = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    row = chat.read_back(chat.format_conversations(frame)).first()
+    assert row.loss_chars == len(text) and row.loss_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert chat.format_conversations(frame.limit(0)).count() == 0
+
+
 def test_long_conversations_are_rendered_whole(spark):
     rows = [(conv, i, "user", f"t{i}") for conv in (1, 2) for i in range(150)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").where("conv_id = 1 or turn < 100")
@@ -259,18 +333,35 @@ def test_packing_keeps_every_token(docs, rows, empty):
     for r in packed:
         ids = np.frombuffer(r.input_ids, np.uint16)
         assert len(ids) == 256 and r.cu_seqlens[-1] == r.n_tokens <= 256 and (ids[r.n_tokens :] == packing.END).all()
-        for doc, piece, a, b, start in zip(r.doc_ids, r.pieces, r.cu_seqlens, r.cu_seqlens[1:], r.position_starts):
+        for doc, number, piece, a, b, start in zip(r.doc_ids, r.doc_rows, r.pieces, r.cu_seqlens, r.cu_seqlens[1:], r.position_starts):
             assert start == piece * 256
-            pieces.setdefault(doc, []).append((piece, tuple(ids[a:b])))
-    for doc_id, text, *_ in rows:
-        if doc_id == 2:
-            continue
-        ids = [x for _, part in sorted(pieces[doc_id]) for x in part]
-        assert ids == [*encode(text or ""), packing.END]
-    assert len(pieces[2]) % 2 == 0
+            pieces.setdefault((doc, number), []).append((piece, tuple(ids[a:b].tolist())))
+    wanted = sorted(([d, [*encode(t or "").tolist(), packing.END]] for d, t, *_ in rows), key=repr)
+    found = sorted(([d, [x for _, part in sorted(p) for x in part]] for (d, _), p in pieces.items()), key=repr)
+    assert found == wanted  # rows that share an id, or a row that stands twice, are put together each
     assert packing.pack_tokens(empty).count() == 0
 
 
+def test_packing_of_shared_ids_and_long_texts(spark, tmp_path, docs, clashing):
+    rows = [(7, "one two three"), (7, "four five"), (None, "six"), (None, "seven"), (-1, "eight " * 30_000)]
+    packed = packing.pack_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), row=64)
+    packing.write_packed(packed, str(tmp_path / "packed"))
+    import pyarrow.parquet as pq
+
+    written = pq.read_table(str(tmp_path / "packed"))
+    ids, lengths, positions = packing.read_matrix(written, row=64)
+    assert ids.shape == positions.shape == (written.num_rows, 64)
+    pieces, encode = {}, packing.Encoder()
+    for r, line, cuts, places in zip(written.to_pylist(), ids, lengths, positions):
+        for doc, number, piece, a, b in zip(r["doc_ids"], r["doc_rows"], r["pieces"], cuts, cuts[1:]):
+            assert places[a:b].tolist() == list(range(b - a))
+            pieces.setdefault((doc, number), []).append((piece, line[a:b].tolist()))
+    found = sorted([str(d), sum((x for _, x in sorted(p)), [])] for (d, _), p in pieces.items())
+    assert found == sorted([str(d), [*encode(t).tolist(), packing.END]] for d, t in rows)
+    plain = lambda frame: sorted(r.n_tokens for r in packing.pack_tokens(frame).collect())
+    assert plain(clashing) == plain(docs)
+
+
 def test_chunked_encoding_equals_whole_texts():
     import base64
 
@@ -307,6 +398,30 @@ def test_position_resets():
     assert packing.position_ids([0, 2, 5]).tolist() == [0, 1, 0, 1, 2] and packing.position_ids([0, 2, 3], [0, 256]).tolist() == [0, 1, 256]
 
 
+def test_bradley_terry_equals_plain_gradient_descent():
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0.4, 1, (60, 4)), rng.normal(0, 1, (50, 4))])
+    d = quality.differences(x, np.array([1] * 60 + [0] * 50), 800, 3)
+    assert d.shape == (800, 4)
+    w = [0.0] * 4
+    for _ in range(4000):
+        slope = [0.001 * v for v in w]
+        for row, p in zip(d.tolist(), (1 / (1 + np.exp(-d @ np.array(w)))).tolist()):
+            for i in range(4):
+                slope[i] += (p - 1) * row[i] / len(d)
+        w = [v - 0.5 * g for v, g in zip(w, slope)]
+        if max(map(abs, slope)) < 1e-6:
+            break
+    assert np.allclose(quality.bradley_terry(d), w, atol=1e-4)
+
+
+def test_the_fit_sees_each_label_once(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0)], "doc_id long, label int")
+    rows = [(1, "good words stand here"), (2, "bad"), (2, "worse")]
+    some, many = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows, rows * 50))
+    assert quality.fit(some, labels) == quality.fit(many, labels)
+
+
 @pytest.mark.parametrize("shape", [(5, 9), (0, 9)])
 def test_bradley_terry_prefers_the_right_side(shape):
     rng = np.random.default_rng(0)

@@ -1,11 +1,11 @@
 """The pipeline against brute force, stage by stage."""
 
-import re
-
 import corpus_pipeline
 import numpy as np
 from helpers import DATA
 from pyspark.sql import functions as F
+from test_groups import check_whole_documents
+from test_scans import plain_contamination
 from test_similar import plain_kept
 
 from spanfold.llm import mixing, packing, quality
@@ -31,17 +31,11 @@ def test_stages_act_on_what_is_left(spark, tmp_path):
     rows = [tuple(r) for r in kept["quality"].select("doc_id", "text").collect()]
     assert sorted((d is None, d or 0) for d in ids["near_duplicates"]) == plain_kept(rows)
 
-    from test_scans import plain_contamination
-
     rows = [tuple(r) for r in kept["near_duplicates"].select("doc_id", "text").collect()]
     items = [tuple(r) for r in table(spark, DATA, "benchmark").collect()]
     assert sorted(ids["decontamination"]) == sorted(r[0] for r in plain_contamination(rows, items) if not r[5])
 
-    taken = {r.doc_id: r.taken for r in mixing.mix_single_source(kept["decontamination"]).collect() if r.taken}
-    words = {}
-    for r in kept["mixing"].collect():
-        words[r.doc_id] = words.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
-    assert words == taken
+    check_whole_documents(kept["decontamination"], kept["mixing"], mixing.mix_single_source(kept["decontamination"]))
 
     encode = packing.Encoder()
     packed = kept["packing"].collect()
@@ -51,8 +45,21 @@ def test_stages_act_on_what_is_left(spark, tmp_path):
     assert again.agg(F.sum("n_tokens")).first()[0] == sum(r.n_tokens for r in packed)
 
 
-def test_stages_of_awkward_rows(spark, docs, empty):
-    for name, stage in corpus_pipeline.STAGES:
+def test_stages_of_awkward_rows(spark, docs, rows, empty, clashing):
+    stages = dict(corpus_pipeline.STAGES)
+    for name, stage in stages.items():
         assert stage(spark, empty, DATA).count() == 0, name
-        assert stage(spark, docs, DATA).count() >= 0, name
-    assert quality.keep_accepted(docs.limit(0), quality.fit(docs, table(spark, DATA, "labels").select("doc_id", F.col("quality").alias("label")))).count() == 0
+    labels = table(spark, DATA, "labels").where(~quality.held_out()).select("doc_id", F.col("quality").alias("label"))
+    ranking = quality.fit(docs, labels)
+    accepted = [r for r in rows if ranking.scores(np.array([quality.features((r[1] or "").encode())]))[0] >= quality.THRESHOLD]
+    assert sorted(map(tuple, stages["quality"](spark, docs, DATA).collect()), key=repr) == sorted(accepted, key=repr)
+    kept = stages["near_duplicates"](spark, docs, DATA)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == plain_kept([r[:2] for r in rows])
+    assert sorted(map(repr, stages["near_duplicates"](spark, clashing, DATA).select(*docs.columns).collect())) == sorted(map(repr, kept.collect()))
+    items = [tuple(r) for r in table(spark, DATA, "benchmark").collect()]
+    clean = sorted((r[0] for r in plain_contamination([r[:2] for r in rows], items) if not r[5]), key=repr)
+    assert sorted((r.doc_id for r in stages["decontamination"](spark, docs, DATA).collect()), key=repr) == clean
+    unique = docs.dropDuplicates(["doc_id"])
+    check_whole_documents(unique, stages["mixing"](spark, unique, DATA), mixing.mix_single_source(unique))
+    encode = packing.Encoder()
+    assert sum(r.n_tokens for r in stages["packing"](spark, docs, DATA).collect()) == sum(len(encode(r[1] or "")) + 1 for r in rows)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -59,26 +60,44 @@ def test_contamination_of_empty_tables(spark, docs, empty):
 
 def test_wu_manber_equals_slicing():
     rng = random.Random(2)
-    for _ in range(200):
-        words = [rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 40))]
-        patterns = list({tuple(rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(1, 5))) for _ in range(6)})
-        wanted = sorted((i, p) for p, x in enumerate(patterns) for i in range(len(words) - len(x) + 1) if tuple(words[i : i + len(x)]) == x)
-        assert sorted(contamination.WuManber(patterns).find(words)) == wanted
-
-
-def least_edits(pattern, text):
-    """Fewest edits of the pattern to any part of the text."""
-    row = [0] * (len(text) + 1)
-    for i, p in enumerate(pattern, 1):
-        last, row[0] = row[0], i
+    for _ in range(300):
+        words = [rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(0, 40))]
+        texts = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 9))] for _ in range(6)]
+        window, wanted = rng.choice([1, 2, 3, 5, 100]), []
+        for owner, text in enumerate(texts):
+            size = min(window, len(text))
+            for at in range(len(text) - size + 1 if size else 0):
+                wanted += [(i, size, owner) for i in range(len(words) - size + 1) if words[i : i + size] == text[at : at + size]]
+        assert sorted(contamination.WuManber(texts, window).find(words)) == sorted(wanted)
+
+
+def ends_within(pattern, text, starts, edits):
+    """Where parts of ``text`` that begin at one of ``starts`` and are at most ``edits`` from the pattern end."""
+    row = [0 if j in starts else 10**6 for j in range(len(text) + 1)]
+    for j in range(len(text)):
+        row[j + 1] = min(row[j + 1], row[j] + 1)
+    for p in pattern:
+        last, row[0] = row[0], row[0] + 1
         for j, t in enumerate(text, 1):
             last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != t))
-    return min(row)
+    return {j for j, cost in enumerate(row) if cost <= edits}
+
+
+def stands(notice, text):
+    """Whether the notice's parts stand one after another, each within its edits; first and last exact parts as whole words."""
+    at = set(range(len(text) + 1))
+    if not notice.parts[0][1]:
+        at = {j for j in at if j == 0 or text[j - 1] == " "}
+    for i, (part, edits) in enumerate(notice.parts):
+        at = ends_within(part, text, at, edits)
+        if i + 1 < len(notice.parts):
+            at = {j + 1 for j in at if text[j : j + 1] == " "}
+    return any(notice.parts[-1][1] or j == len(text) or text[j] == " " for j in at)
 
 
 def test_notices_within_their_edits():
     rng, finder = random.Random(4), licenses.NoticeFinder()
-    for _ in range(60):
+    for _ in range(150):
         notice = rng.choice(finder.notices)
         text = list(notice.text)
         for _ in range(rng.randint(0, notice.edits + 2)):
@@ -86,10 +105,27 @@ def test_notices_within_their_edits():
             text[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "q"])
         text = "some words " + "".join(text) + " other words"
         found = {n for _, _, n, _ in finder.find(text)}
-        wanted = {i for i, n in enumerate(finder.notices) if least_edits(n.text, text) <= n.edits}
+        wanted = {i for i, n in enumerate(finder.notices) if stands(n, text)}
         assert found == wanted, text
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("released under the bsd license", ""), ("released under the isc license", ""), ("released under the gpl license", ""), ("released under the mitt license", ""),
+    ("licensed under the apache license version 1 1", ""), ("licensed under the apache license version 2 01", ""), ("gnu affero general public license", "gpl"),
+    ("relaesed under the MIT licence", "mit"), ("Licensed under teh Apache License, Version 2.0.", "apache-2.0"), ("GNU Lesser General Public License", "gpl,lgpl"), ("GNU General Public Licence", "gpl"),
+])
+def test_deciding_words_are_exact(spark, text, labels):
+    row = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.labels == labels
+
+
+def test_many_hits_take_linear_time():
+    words = [b"cc", b"by"] * 40_000
+    began = time.perf_counter()
+    places = licenses.base_places(words, b" ".join(words))
+    assert len(places) == 40_000 and places[7] == (14, "cc-by") and time.perf_counter() - began < 1
+
+
 def test_licences(spark, docs, rows, empty, clashing):
     texts = ["CC-BY and cc by", "Licenced under the Apache Licence, Version 2.0", "all rights reserved. ALL RIGHTS RESERVED", "general public license", None, ""]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
