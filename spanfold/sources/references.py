@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanfold.functions.features import DIMS, FEATURES, QUANTISED
 from spanfold.functions.quantise import partition_key, quantised_reference
 
-ROWS = "array<struct<vector:array<double>,label:string>>"
+ROW = "vector array<double>, label string"
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """(ref_idx, vector, label) of a JSON array in a file, gzip or plain.
+    """(ref_idx, vector, label) of a JSON array of flat objects in a file, gzip or plain, of any size.
 
-    A row's place in the array is its index, which breaks ties later, so the array is read as one
-    value and exploded with its positions; a line-wise reader would number rows by partition.
+    A row's place in the array is its index, which breaks ties later.  The text is cut after every
+    closing brace, so a plain file is read by many tasks; rows are numbered within each block of
+    the file, and blocks, in the file's order, go on from one another.  Anything else than objects
+    between brackets and commas is an error.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", ROWS, {"mode": "FAILFAST"}).alias("rows"))
-    return whole.select(F.posexplode("rows").alias("ref_idx", "row")).select("ref_idx", "row.vector", "row.label")
+    text = spark.read.option("lineSep", "}").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    body = F.regexp_replace("value", r"^[\[,\s]+", "")
+    pieces = text.withColumn("body", body).where(~F.col("body").rlike(r"^[\]\s]*$"))
+    blocks = pieces.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))  # a row for each block of the file
+    blocks = blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    rows = pieces.join(F.broadcast(blocks), ["file", "block"]).withColumn("row", F.from_json(F.concat("body", F.lit("}")), ROW, {"mode": "FAILFAST"}))
+    inside = Window.partitionBy("file", "block").orderBy("at")
+    return rows.select((F.col("before") + F.row_number().over(inside) - 1).alias("ref_idx"), "row.vector", "row.label")
 
 
 def read_numbered_references(spark: SparkSession, path: str) -> DataFrame:

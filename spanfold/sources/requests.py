@@ -8,6 +8,7 @@ from datetime import date
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Largest head and body that are admitted, in bytes.
 MOST_HEAD = MOST_BODY = 4096
@@ -97,6 +98,11 @@ def parse_native(requests: DataFrame, body: str = "body") -> DataFrame:
     A row is valid when its body is whole JSON and every leaf that is there follows its type's
     rule; leaves of other rows may be null, and such rows belong into quarantine.
     """
+    return _native(requests, body).drop("_j")
+
+
+def _native(requests: DataFrame, body: str) -> DataFrame:
+    """parse_native's rows with the parsed document ``_j``."""
     doc = F.from_json(body, BODY, {"columnNameOfCorruptRecord": "corrupt"})
     # A generator keeps the optimizer from moving a filter on ``valid`` below the parser, where it
     # would parse the body anew for every leaf.
@@ -123,7 +129,7 @@ def parse_native(requests: DataFrame, body: str = "body") -> DataFrame:
     for text, value in found.values():
         valid = valid & (text.isNull() | value.isNotNull())
     rows = rows.withColumns({name: value for name, (_, value) in found.items()} | {"valid": F.coalesce(valid, F.lit(False))})
-    return rows.withColumn("has_last", F.col("last_at").isNotNull() | F.col("last_km").isNotNull()).drop("_j")
+    return rows.withColumn("has_last", F.col("last_at").isNotNull() | F.col("last_km").isNotNull())
 
 
 _SPACE = b" \n\r\t"
@@ -291,28 +297,66 @@ def parse_body(body: str | bytes | None) -> dict:
     return found | {"has_last": "last_at" in found or "last_km" in found, "whole": whole, "known": known}
 
 
+#: Whole, plain bodies: objects of pairs two deep, values without escapes or nulls, lists of strings.
+_STRING_OF, _SPACES = r'"[^"\\]*"', r"[ \n\r\t]*+"
+_VALUE = rf"(?:{_STRING_OF}|[0-9.]++|true|false|\[{_SPACES}(?:{_STRING_OF}{_SPACES}(?:,{_SPACES}{_STRING_OF}{_SPACES})*+)?\])"
+
+
+def _object(value: str) -> str:
+    pair = rf"{_STRING_OF}{_SPACES}:{_SPACES}{value}{_SPACES}"
+    return rf"\{{{_SPACES}(?:{pair}(?:,{_SPACES}{pair})*+)?\}}"
+
+
+_PLAIN = rf"^{_SPACES}{_object(rf'(?:{_VALUE}|{_object(_VALUE)})')}{_SPACES}$"
+
+
+def _same_decimal(text: Column) -> Column:
+    """A decimal by the compatible rule: whole part plus up to 18 digits of fraction times a power of ten."""
+    whole, part = F.split_part(text, F.lit("."), F.lit(1)), F.left(F.split_part(text, F.lit("."), F.lit(2)), F.lit(18))
+    power = F.array(*[F.lit(10.0**-n) for n in range(19)])
+    value = F.when(whole == "", 0.0).otherwise(whole.try_cast("double")) + F.when(part == "", 0.0).otherwise(part.try_cast("bigint").cast("double") * F.get(power, F.length(part)))
+    return F.when(text.rlike(r"^(?=.*[0-9])[0-9]*\.?[0-9]*$"), value)
+
+
 def parse_compatible(requests: DataFrame, body: str = "body") -> DataFrame:
-    """``requests`` with RECORD, ``whole``, ``known`` and ``risk``, by a reader that never rejects a row.
+    """``requests`` with RECORD, ``whole``, ``known`` and ``risk``, by a reading that never rejects a row.
 
-    Only a whole body marks its merchant as known and looks up its category's risk.
+    Only a whole body marks its merchant as known and looks up its category's risk.  A body of the
+    plain form, without repeated or unknown keys and with every value valid, is read by Spark's
+    reader, as both give the same record then; any other one is walked from left to right.
     """
-    from spanfold.functions.features import DEFAULT_RISK, MCC_RISK
+    from spanfold.functions.features import DEFAULT_RISK, MCC_RISK, mcc_risk, merchant_known
 
     kind = f"{RECORD}, whole boolean, known boolean, risk double"
     names = [x.split()[0] for x in kind.split(", ")]
 
     @F.pandas_udf(kind)
-    def parse(bodies: pd.Series) -> pd.DataFrame:
-        rows = []
-        for body in bodies:
-            found = parse_body(body)
+    def walk(bodies: pd.Series, plain: pd.Series) -> pd.DataFrame:
+        columns: dict[str, list] = {name: [None] * len(bodies) for name in names}
+        for at in (~plain.to_numpy(bool)).nonzero()[0]:
+            found = parse_body(bodies.iat[at])
             found["risk"] = MCC_RISK.get(found.get("mcc", ""), DEFAULT_RISK) if found["whole"] else DEFAULT_RISK
-            rows.append([found.get(n) for n in names])
-        frame = pd.DataFrame(rows, columns=names, dtype=object)
+            for name in names:
+                columns[name][at] = found.get(name)
+        frame = pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in columns.items()})
         for name, dtype in {"installments": "Int32", "tx_count_24h": "Int32", "requested_at": "Int64", "last_at": "Int64"}.items():
             frame[name] = frame[name].astype(dtype)
         for name in ("amount", "customer_avg", "merchant_avg", "km_from_home", "last_km", "risk"):
             frame[name] = frame[name].astype("Float64")
         return frame
 
-    return requests.withColumn("_r", parse(F.col(body).cast("string"))).select("*", "_r.*").drop("_r")
+    fields = [x.split()[0] for x in RECORD.split(", ")]
+    held = requests.select(F.struct(*[f"`{c}`" for c in requests.columns]).alias("_in"), F.col(body).cast("string").alias("_body"))
+    rows = _native(held, "_body")
+    decimals = {"amount": "transaction.amount", "customer_avg": "customer.avg_amount", "merchant_avg": "merchant.avg_amount", "km_from_home": "terminal.km_from_home", "last_km": "last_transaction.km_from_current"}
+    # Every key of a plain body is one that was found: as many keys as found values and objects.
+    j, objects = F.col("_j"), ("transaction", "customer", "merchant", "terminal", "last_transaction")
+    kinds = StructType.fromDDL(BODY)
+    parts = [j["id"], *[j[o] for o in objects], *[j[o][f.name] for o in objects for f in kinds[o].dataType]]
+    found = sum((p.isNotNull().cast("int") for p in parts[1:]), parts[0].isNotNull().cast("int"))
+    plain = F.col("valid") & F.col("_body").rlike(_PLAIN) & (F.regexp_count("_body", F.lit(r'"[ \n\r\t]*:')) == found)
+    rows = rows.withColumns({n: _same_decimal(j[p.split(".")[0]][p.split(".")[1]]) for n, p in decimals.items()})
+    rows = rows.withColumn("_plain", F.coalesce(plain, F.lit(False)))
+    rows = rows.withColumn("_r", walk(F.when(~F.col("_plain"), F.col("_body")), F.col("_plain")))
+    native = {**{n: F.col(n) for n in fields}, "whole": F.lit(True), "known": merchant_known(F.col("merchant_id"), F.col("known_merchants")), "risk": mcc_risk(F.col("mcc"))}
+    return rows.select("_in.*", *[F.when(F.col("_plain"), native[n]).otherwise(F.col("_r")[n]).alias(n) for n in names])

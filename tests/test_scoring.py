@@ -146,6 +146,39 @@ def test_compatible_reading():
     assert parse_body("}")["whole"] is False and parse_body(None)["whole"] is True
 
 
+def test_compatible_rows_equal_the_walk(spark):
+    """Plain bodies are read natively; they and mutilated ones give what the walk gives."""
+    rng, whole = np.random.default_rng(8), json.dumps(REQUEST)
+    texts = [whole, whole.replace(" ", ""), whole.replace(" ", "\n\t "), whole + " x", whole + "{}", whole[:-1], "", None, "{}", whole.replace("384.88", '"384.88"'), whole.replace("384.88", "00384.8800"),
+             whole.replace("384.88", ".5"), whole.replace("384.88", "5."), whole.replace("384.88", "1.2.3"), whole.replace("384.88", "0.1234567890123456789012"), whole.replace('"MERC-001"]', '"MERC-002"]'),
+             whole.replace('"id": "tx-3576980410"', '"id": ":a"'), whole.replace('"mcc"', '"id": "MERC-002", "mcc"'), whole.replace('"mcc"', '"more": 1, "mcc"'), whole.replace("5912", "59\\u0031"), whole.replace('"5912"', "null"),
+             json.dumps({**REQUEST, "last_transaction": None}), json.dumps({k: v for k, v in REQUEST.items() if k != "last_transaction"}), whole.replace("3,", "300,", 1), whole.replace("}}", "},}")]
+    for _ in range(300):
+        at = rng.integers(0, len(whole))
+        texts.append(whole[:at] + str(rng.choice(list('{}[]",:.0 ax\\'))) + whole[at + rng.integers(0, 2) :])
+    names = ["id", "amount", "installments", "requested_at", "customer_avg", "tx_count_24h", "known_merchants", "merchant_id", "mcc", "merchant_avg", "is_online", "card_present", "km_from_home", "last_at", "last_km", "has_last", "whole", "known"]
+    for r in parse_compatible(bodies(spark, *texts)).collect():
+        wanted = parse_body(texts[r.request_id])
+        assert [r[n] for n in names] == [wanted.get(n) for n in names], texts[r.request_id]
+        assert r.risk == (0.2 if wanted["whole"] and wanted.get("mcc") == "5912" else 0.5)
+
+
+def test_large_arrays_are_read_in_parts(spark, tmp_path):
+    rows = [{"vector": [i / 1000, *[0.5] * 13], "label": "fraud" if i % 3 else "legit"} for i in range(1000)]
+    (tmp_path / "a.json").write_text(json.dumps(rows, indent=1))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        assert spark.read.text(str(tmp_path / "a.json")).rdd.getNumPartitions() > 1
+        found = read_references(spark, str(tmp_path / "a.json")).orderBy("ref_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.ref_idx, r.vector, r.label) for r in found] == [(i, x["vector"], x["label"]) for i, x in enumerate(rows)]
+    (tmp_path / "bad.json").write_text('[{"vector": [1.0], "label": "x"}, oops {"vector": [1.0]}]')
+    with pytest.raises(Exception, match="MALFORMED|Malformed|malformed"):
+        read_references(spark, str(tmp_path / "bad.json")).collect()
+
+
 def test_rounding_is_half_even(spark):
     rows = spark.createDataFrame([(0.00005,), (0.00035,), (0.00025,), (-0.5,), (-1.0,), (2.0,)], "v double")
     assert [r[0] for r in rows.select(quantise_reference(F.col("v"))).collect()] == [0, 4, 2, 0, -10000, 10000]
