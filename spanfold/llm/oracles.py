@@ -1,16 +1,17 @@
-"""DuckDB SQL for the queries whose operators SQL can express."""
+"""DuckDB SQL for the queries whose operators SQL can express.
 
-from __future__ import annotations
+Patterns, words, tables and thresholds are written out here once more, so that a wrong one in an
+operator shows.
+"""
 
-from spanfold.llm import divergence as _d
-from spanfold.llm import secrets_scan as _s
+from __future__ import annotations
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _SPACED = r"'[^\x20\x09-\x0D]+'"
 _LINE = r"'[^\x20\x09-\x0D]'"
 
-_OP1 = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_SPACED})) AS BIGINT) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+_OP1 = f"""WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_SPACED})) AS BIGINT) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))) AS place FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s0),
 o AS (SELECT *, coalesce(sum(source_size) OVER before, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS free, sum(source_size) OVER () AS total
@@ -22,6 +23,15 @@ c AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN quota // s
   sum(size) OVER (PARTITION BY d.source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * epoch + greatest(0, least(size, within - coalesce(before, 0))) AS BIGINT) AS taken FROM c"""
 
+_PLACES = " UNION ALL ".join(
+    f"SELECT doc_id, i, '{label}' AS label FROM d, unnest(range(0, greatest(len(w) - {n - 1}, 0))) AS u(i) WHERE w[i + 1 : i + {n}] = [{', '.join(repr(x) for x in phrase)}]"
+    for phrase, label in ((["cc", "by"], "cc-by"), (["general", "public", "license"], "gpl"), (["all", "rights", "reserved"], "reserved")) for n in (len(phrase),)
+)
+_BASE2 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, {_WORD}) AS w FROM documents),
+p AS ({_PLACES}),
+g AS (SELECT doc_id, count(*) AS n_base, CAST(min(i) AS BIGINT) AS first_word, CAST(max(i) AS BIGINT) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels FROM d LEFT JOIN g USING (doc_id)"""
+
 _OP3 = f"""WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD}, {_WORD}) AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_FOLD}, {_WORD}) AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS size, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') AS win FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
@@ -36,8 +46,8 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)"""
 _OP8 = rf"""WITH l AS (SELECT doc_id, CAST(i - 1 AS INT) AS line_no, x[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), unnest(range(1, len(x) + 1)) AS u(i)
   WHERE regexp_matches(x[i], {_LINE})),
 f AS (SELECT line, length(line) AS n, min((doc_id, line_no)) AS place FROM l GROUP BY line),
-c AS (SELECT a.line AS x, b.line AS y, a.n AS m, b.n AS n, a.place AS xp, b.place AS yp FROM f a JOIN f b ON a.n >= 16 AND (b.n = a.n OR b.n = a.n + 1) AND a.line <> b.line AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
-  UNION SELECT a.line, b.line, a.n, b.n, a.place, b.place FROM f a JOIN f b ON a.n >= 16 AND (b.n = a.n OR b.n = a.n + 1) AND a.line <> b.line AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)),
+c AS (SELECT a.line AS x, b.line AS y, a.n AS m, b.n AS n, a.place AS xp, b.place AS yp FROM f a JOIN f b ON (b.n = a.n OR b.n = a.n + 1) AND a.line <> b.line AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
+  UNION SELECT a.line, b.line, a.n, b.n, a.place, b.place FROM f a JOIN f b ON (b.n = a.n OR b.n = a.n + 1) AND a.line <> b.line AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)),
 e AS (SELECT DISTINCT CASE WHEN xp > yp THEN x ELSE y END AS line FROM c, unnest(range(1, n + 1)) AS u(i)
   WHERE left(x, i - 1) = left(y, i - 1) AND substring(x, CASE WHEN m = n THEN i + 1 ELSE i END) = substring(y, i + 1)),
 k AS (SELECT place.doc_id AS doc_id, list(place.line_no ORDER BY place.line_no) AS kept_lines FROM (SELECT struct_pack(doc_id := place[1], line_no := place[2]) AS place FROM f WHERE line NOT IN (SELECT line FROM e)) GROUP BY ALL)
@@ -75,22 +85,48 @@ def _distance(a: str, b: str, n: int) -> str:
     return f"CASE WHEN {totals[0]} > 0 AND {totals[1]} > 0 THEN sqrt(greatest({terms}, 0)) END"
 
 
-_N = len(_d.CLASSES) + 1
-_LEFT = [f"length(text) - length(regexp_replace(text, {_text_sql(p)}, '', 'g')) AS c{i}" for i, p in enumerate(_d.CLASSES.values())]
-_PLACE = "CASE lang " + " ".join(f"WHEN '{k}' THEN coalesce(list_position([{', '.join(_text_sql(w) for w in words)}], lower(x)), 0)" for k, words in _d.COMMON.items()) + " ELSE 0 END"
-_OP5 = f"""WITH d AS (SELECT doc_id, CASE WHEN lang IN ({', '.join(map(_text_sql, _d.COMMON))}) THEN lang ELSE '-' END AS lang, coalesce(text, '') AS text FROM documents),
+#: Character classes, common words and references of each language (fixed values).
+_CLASSES = ["[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", "[.,;:!?'\"()-]", "[#*$%&|<>]", r"[^\x00-\x7F]"]
+_COMMON = {
+    "en": "the of and a to in it is that was for on with as be at by this had not",
+    "de": "der die das und in den von zu mit ist ein im sich des auf für nicht eine dem auch",
+    "fr": "de la le et les des en un une du que pour est dans qui par sur au pas plus",
+    "es": "de la que el en y a los se del las un por con no una su para es al",
+}
+_CLASS_SHARES = {
+    "en": [138, 5, 1666, 237, 0, 0, 7953], "de": [122, 4, 1546, 217, 0, 381, 7730], "fr": [103, 7, 1668, 237, 0, 905, 7080],
+    "es": [118, 7, 1618, 229, 0, 778, 7250], "-": [129, 6, 1641, 233, 0, 292, 7699],
+}
+_WORD_SHARES = {
+    "en": [7731, 550, 286, 232, 138, 168, 117, 78, 105, 92, 68, 78, 65, 57, 52, 48, 42, 48, 45, 0, 0],
+    "de": [7685, 547, 285, 98, 233, 164, 143, 116, 98, 80, 53, 46, 49, 76, 67, 64, 59, 46, 46, 47, 1],
+    "fr": [7668, 552, 303, 221, 169, 141, 120, 113, 95, 72, 77, 66, 63, 61, 51, 51, 47, 44, 43, 44, 0],
+    "es": [7667, 560, 289, 218, 168, 142, 113, 0, 107, 90, 73, 88, 70, 67, 56, 55, 51, 48, 50, 44, 43],
+}
+_N, _N_COMMON = 7, 20
+
+
+def _shares(table: dict[str, list[int]], prefix: str) -> str:
+    """A reference's rows, lang and one column for each part."""
+    names = ", ".join(f"{prefix}{i}" for i in range(len(table["en"])))
+    return f"(VALUES {', '.join(f'({_text_sql(k)}, {', '.join(map(str, x))})' for k, x in table.items())}) AS v(lang, {names})"
+
+
+_LEFT = [f"length(text) - length(regexp_replace(text, {_text_sql(p)}, '', 'g')) AS c{i}" for i, p in enumerate(_CLASSES)]
+_PLACE = "CASE lang " + " ".join(f"WHEN '{k}' THEN coalesce(list_position([{', '.join(map(_text_sql, words.split()))}], lower(x)), 0)" for k, words in _COMMON.items()) + " ELSE 0 END"
+_OP5 = f"""WITH d AS (SELECT doc_id, CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELSE '-' END AS lang, coalesce(text, '') AS text FROM documents),
 t AS (SELECT *, regexp_extract_all(text, {_SPACED}) AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_LINE})) AS lines FROM d),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM t, unnest(range(1, len(w) - 1)) AS u(i)),
 r AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1), unnest([i, i + 1, i + 2]) AS u(p) GROUP BY doc_id),
-m AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '{_d.SYMBOL}')) AS BIGINT) AS n_symbols,
+m AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) AS n_chars, {', '.join(_LEFT)}, list_transform(w, lambda x: {_PLACE}) AS places
   FROM t LEFT JOIN r USING (doc_id)),
-h AS (SELECT * EXCLUDE (places), n_chars - ({' + '.join(f'c{i}' for i in range(_N - 1))}) AS c{_N - 1}, {', '.join(f'len(list_filter(places, lambda x: x = {k})) AS w{k}' for k in range(_d.N_COMMON + 1))},
+h AS (SELECT * EXCLUDE (places), n_chars - ({' + '.join(f'c{i}' for i in range(_N - 1))}) AS c{_N - 1}, {', '.join(f'len(list_filter(places, lambda x: x = {k})) AS w{k}' for k in range(_N_COMMON + 1))},
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
-s AS (SELECT lang, {', '.join(f'sum(c{i}) AS rc{i}' for i in range(_N))}, {', '.join(f'sum(w{i}) AS rw{i}' for i in range(_d.N_COMMON + 1))} FROM h WHERE NOT base_failed GROUP BY lang),
-j AS (SELECT h.*, {_distance('c', 'rc', _N)} AS class_distance, CASE WHEN lang <> '-' THEN {_distance('w', 'rw', _d.N_COMMON + 1)} END AS word_distance FROM h LEFT JOIN s USING (lang))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(n_chars >= {_d.LEAST_CHARS} AND class_distance > {_d.MOST_CLASS_DISTANCE}
-  OR n_words >= {_d.LEAST_WORDS} AND word_distance > {_d.MOST_WORD_DISTANCE}, false) AS kept FROM j"""
+j AS (SELECT h.*, {_distance('c', 'rc', _N)} AS class_distance, CASE WHEN lang <> '-' THEN {_distance('w', 'rw', _N_COMMON + 1)} END AS word_distance
+  FROM h LEFT JOIN (SELECT * FROM {_shares(_CLASS_SHARES, 'rc')}) USING (lang) LEFT JOIN (SELECT * FROM {_shares(_WORD_SHARES, 'rw')}) USING (lang))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(n_chars >= 500 AND class_distance > 0.22 OR n_words >= 100 AND word_distance > 0.265, false) AS kept FROM j"""
 
 
 def _spans(kind: int, pattern: str, keep: str) -> str:
@@ -102,21 +138,23 @@ def _spans(kind: int, pattern: str, keep: str) -> str:
       FROM (SELECT doc_id, regexp_extract_all(text, {p}) AS xs, string_split_regex(text, {p}) AS gaps FROM d))) WHERE {keep}"""
 
 
-_KINDS = "[" + ", ".join(map(_text_sql, _s.KINDS)) + "]"
+_KINDS = "['assign', 'access', 'hex', 'identifier', 'key', 'endpoint']"
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_ENDPOINT = r"""https?://[^\s"'<>]+"""
 _WEAK = [
     _spans(3, "[A-Za-z0-9]+", "length(x) BETWEEN 16 AND 32 AND regexp_full_match(x, '[A-Z0-9]+') AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Z]')"),
     _spans(4, "[A-Za-z0-9+/]+={0,2}", "regexp_full_match(x, '[A-Za-z0-9+/]{32,}={0,2}') AND regexp_matches(x, '[0-9]')"),
-    _spans(5, _s.ENDPOINT, "true"),
+    _spans(5, _ENDPOINT, "true"),
 ]
-_STRONG = [_spans(0, _s.ASSIGN, f"length(regexp_extract(x, {_text_sql(_s.ASSIGN)}, 2)) >= 6"), _spans(1, _s.ACCESS, "true"), _spans(2, _s.HEX, "true")]
+_STRONG = [_spans(0, _ASSIGN, f"length(regexp_extract(x, {_text_sql(_ASSIGN)}, 2)) >= 6"), _spans(1, "AKIA[A-Z0-9]{16,}", "true"), _spans(2, "[0-9a-f]{24,}", "true")]
 _ALL = " UNION ALL ".join(f"({x})" for x in _STRONG + _WEAK)
 _OP10 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 a AS ({_ALL}),
-n AS (SELECT w.doc_id, w.kind, w.start, w.stop FROM a w JOIN a p ON w.doc_id = p.doc_id AND w.kind >= 3 AND (w.kind <> p.kind OR w.start <> p.start) AND p.start <= w.stop + {_s.SCOPE} AND p.stop >= w.start - {_s.SCOPE}
+n AS (SELECT w.doc_id, w.kind, w.start, w.stop FROM a w JOIN a p ON w.doc_id = p.doc_id AND w.kind >= 3 AND (w.kind <> p.kind OR w.start <> p.start) AND p.start <= w.stop + 240 AND p.stop >= w.start - 240
   GROUP BY ALL HAVING bool_or((p.start >= w.stop OR p.stop <= w.start) AND CASE w.kind WHEN 3 THEN p.kind IN (0, 2, 4) WHEN 4 THEN p.kind IN (1, 3, 5) ELSE p.kind <> 5 END)
   AND NOT bool_or(p.kind < 3 AND NOT (p.start >= w.stop OR p.stop <= w.start))),
 e AS (SELECT doc_id, kind, start, {_KINDS}[kind + 1] || ':' || start || ':' || stop AS s FROM (SELECT * FROM a WHERE kind < 3 UNION ALL SELECT * FROM n)),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, string_agg(s, ',' ORDER BY start, kind) FILTER (kind < 3) AS base, string_agg(s, ',' ORDER BY start, kind) AS spans FROM e GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
 
-SQL = {"op1_mixing": _OP1, "op3_decontamination": _OP3, "op4_chat": _OP4, "op5_divergence": _OP5, "op8_lines": _OP8, "op10_secrets": _OP10}
+SQL = {"op1_mixing": _OP1, "licenses_base": _BASE2, "op3_decontamination": _OP3, "op4_chat": _OP4, "op5_divergence": _OP5, "op8_lines": _OP8, "op10_secrets": _OP10}
