@@ -9,6 +9,7 @@ Components of the forests are found by alternating large and small stars on Data
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 
@@ -18,13 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import as_bytes, checkpoint, long_id, spaced_words
+from spanfold.llm.common import as_bytes, checkpoint, in_batches, long_id, spaced_words
 
+log = logging.getLogger(__name__)
 SEED = 42
-#: Fingerprints the driver sees to place the vantage points of the shards.
-SAMPLE = 16_384
-#: Distinct fingerprints that one shard is meant to own.
-SHARD = 8_192
+#: Distinct fingerprints that one shard is meant to own (8 MB).  Small shards cost traffic: the more
+#: there are, the more of them every fingerprint is asked in.
+SHARD = 1 << 20
+#: Fingerprints the driver sees to place the vantage points: so many for each shard, this many at least.
+SAMPLE, SAMPLED = 16_384, 64
 #: A fingerprint is hot if its rows are more than one in so many; there are fewer of them than that.
 HOT_SHARE = 1_000
 #: Keys that are sent to every task, once counted, rather than shuffled with the texts they pick.
@@ -130,19 +133,22 @@ class _Sets:
     """Disjoint sets over 0..n-1; a set's root is its smallest member."""
 
     def __init__(self, n: int):
-        self.parent = list(range(n))
+        self.parent = np.arange(n)
 
-    def find(self, x: int) -> int:
-        parent = self.parent
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def find(self, x: np.ndarray) -> np.ndarray:
+        root = self.parent[x]
+        while (up := self.parent[root]) is not None and (up != root).any():
+            root = up
+        self.parent[x] = root
+        return root
 
-    def union(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            self.parent[max(a, b)] = min(a, b)
+    def union(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join the sets of a[i] and b[i] for all i."""
+        while len(a):
+            a, b = self.find(a), self.find(b)
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
 def _route(shared, radius: int):
@@ -175,28 +181,27 @@ class _Shard:
         self.tree = VantageTree(self.points, _LEAF, radius, np.random.default_rng(SEED))
         self.sets = _Sets(len(self.points))
         for q, r in self.tree.pairs(self.points):
-            for a, b in zip(q.tolist(), r.tolist()):
-                if a < b:
-                    self.sets.union(a, b)
+            once = q < r
+            self.sets.union(q[once], r[once])
 
-    def ask(self, visitors: np.ndarray) -> list[tuple[int, int]]:
+    def ask(self, visitors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One link for each visitor that has neighbours; those neighbours become one set."""
-        first: dict[int, int] = {}
+        first = np.full(len(visitors), -1)
         for q, r in self.tree.pairs(visitors):
-            for a, b in zip(q.tolist(), r.tolist()):
-                if a in first:
-                    self.sets.union(first[a], b)
-                else:
-                    first[a] = b
-        return [(int(visitors[a]), int(self.points[b])) for a, b in first.items()]
+            new = first[q] < 0
+            first[q[new]] = r[new]
+            self.sets.union(first[q], r)
+        some = np.flatnonzero(first >= 0)
+        return visitors[some], self.points[first[some]]
 
-    def links(self) -> list[tuple[int, int]]:
-        return [(int(self.points[i]), int(self.points[r])) for i in range(len(self.points)) if (r := self.sets.find(i)) != i]
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        root = self.sets.find(np.arange(len(self.points)))
+        some = np.flatnonzero(root != np.arange(len(root)))
+        return self.points[some], self.points[root[some]]
 
 
-def _edges(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    both = np.array(links, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+def _edges(links: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(side.view(np.int64)) for side in links], names=["a", "b"])
 
 
 def _link(radius: int):
@@ -217,8 +222,7 @@ def _link(radius: int):
                     owned.append(mine)
                 if (asking := fps[here & visitors]).size:
                     shard = shard or _Shard(owned, radius)
-                    if links := shard.ask(asking):
-                        yield _edges(links)
+                    yield _edges(shard.ask(asking))
         if owned or shard:
             yield _edges((shard or _Shard(owned, radius)).links())
 
@@ -251,26 +255,40 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("u").alias("node"), F.col("u").alias("root")))
 
 
+def fan_out(tree: VantageTree, points: np.ndarray) -> float:
+    """Shards that a fingerprint is sent to on average, its own among them."""
+    asked = own = 0
+    for _, _, queries, owns in tree.visit(points):
+        asked, own = asked + len(queries), own + int(owns.sum())
+    return (asked + own) / 2 / max(1, own)  # of two shards only one is asked
+
+
 def link_fingerprints(distinct: DataFrame, radius: int = 3, shard_size: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """Links (a, b) that connect exactly the fingerprints (column fp, distinct) within ``radius``."""
+    """Links (a, b) that connect exactly the fingerprints (column fp, distinct) within ``radius``.
+
+    The driver sees ``sample`` fingerprints or SAMPLED for each shard, one in 16,384 at most beyond
+    the first 16,384; the expected traffic is logged before anything is sent.
+    """
     spark = distinct.sparkSession
     n = distinct.count()
+    sample = max(sample, SAMPLED * (n // max(shard_size, SHARD)))
     seen = [r.fp for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()]
     points = np.array(seen, dtype=np.int64).view(np.uint64)
     leaf = max(4, int(len(points) * shard_size / max(n, 1)))
     leaf = min(leaf, max(4, len(points) // 8))  # some shards for the cores of a small job
     tree = VantageTree(points, leaf, radius, np.random.default_rng(SEED))
-    tree_leaves = tree.leaves
+    shards = tree.leaves
+    log.info("%d fingerprints, %d shards, each fingerprint sent to %.1f of them", n, shards, fan_out(tree, points))
     tree.points = points[:0]
     routed = distinct.select("fp").mapInArrow(_route(spark.sparkContext.broadcast(tree), radius), "shard int, visitor boolean, fp long")
-    shards = routed.repartition(tree_leaves, "shard").sortWithinPartitions("shard", "visitor")
-    return shards.mapInArrow(_link(radius), "a long, b long")
+    dealt = routed.repartition(shards, "shard").sortWithinPartitions("shard", "visitor")
+    return dealt.mapInArrow(_link(radius), "a long, b long")
 
 
 def _fingerprinted(docs: DataFrame, words_in_shingle: int) -> DataFrame:
     """doc_id, text_key, fp of every row."""
     rows = docs.select(long_id(docs), F.xxhash64(as_bytes("text")).alias("text_key"), as_bytes("text").alias("text"))
-    return checkpoint(rows.mapInArrow(_fingerprints(words_in_shingle), "doc_id long, text_key long, fp long"))
+    return checkpoint(in_batches(rows).mapInArrow(_fingerprints(words_in_shingle), "doc_id long, text_key long, fp long"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, words_in_shingle: int = 3, shard_size: int = SHARD) -> DataFrame:
