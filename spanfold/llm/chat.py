@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import long_id
+from spanfold.llm.common import in_batches, long_id
 
 #: Strings that steer a model; texts must not be able to form them.
 CONTROL = ("[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>")
@@ -133,7 +133,7 @@ def format_conversations(conversations: DataFrame, render: Render = template, se
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.mapInArrow(_render(render, segment if stable else None), _SCHEMA)
+    return in_batches(ordered).mapInArrow(_render(render, segment if stable else None), _SCHEMA)
 
 
 class _Digest:
@@ -184,4 +184,4 @@ def read_back(formatted: DataFrame) -> DataFrame:
     Turns, text under the loss mask and lengths in code points; digests are fed turn by turn.  A
     conversation that its template rewrites has no loss text from the first rewritten turn on.
     """
-    return formatted.mapInArrow(_read_back, _DIGEST)
+    return in_batches(formatted).mapInArrow(_read_back, _DIGEST)

@@ -13,6 +13,9 @@ _FOLD = bytes(
     c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32
     for c in range(256)
 )
+_FOLDERS: set[str] = set()
+#: Bytes that go to a Python worker at once; a single larger row goes alone.
+BATCH_BYTES = 4 << 20
 #: Spark SQL's regex for the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -57,12 +60,24 @@ def as_bytes(column: str) -> F.Column:
     return F.col(column).cast("string").cast("binary")
 
 
+def in_batches(frame: DataFrame) -> DataFrame:
+    """``frame``, whose texts go to Python in batches of at most BATCH_BYTES rather than of 10,000 rows or 64 MB.
+
+    Workers and the buffers of their executor keep the room of their largest batch.
+    """
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return frame
+
+
 def checkpoint(frame: DataFrame) -> DataFrame:
-    """Cut lineage in the folder of spark.checkpoint.dir."""
-    context = frame.sparkSession.sparkContext
+    """Cut lineage in the folder of spark.checkpoint.dir; the session's part of it goes when Python ends."""
+    spark = frame.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_root(frame.sparkSession))
-        remove_at_exit(frame.sparkSession, context._jsc.sc().getCheckpointDir().get())
+        context.setCheckpointDir(shared_root(spark))
+    if (own := context._jsc.sc().getCheckpointDir().get()) not in _FOLDERS:
+        _FOLDERS.add(own)  # Spark names a new folder for every session
+        remove_at_exit(spark, own)
     return frame.checkpoint(eager=True)
 
 

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import as_bytes, checkpoint, folded_words, long_id, merged
+from spanfold.llm.common import as_bytes, checkpoint, folded_words, in_batches, long_id, merged
 
 #: One table of patterns stays below this many bytes of benchmark text, some twelve times as many in
 #: a worker; a larger benchmark is searched in several tables, one after another, so no broadcast
@@ -191,8 +191,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     for number, shared in enumerate(_slices(benchmark, table_bytes)):
         if number and number % TABLES_AT_ONCE == 0:
             found = checkpoint(found)
-        found = found.mapInArrow(_search(shared, window), _SCHEMA)
-    return found.mapInArrow(
+        found = in_batches(found).mapInArrow(_search(shared, window), _SCHEMA)
+    return in_batches(found).mapInArrow(
         _digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>, items array<long>"
     )
 
@@ -215,5 +215,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -
                 clean = [next(finder.find(folded_words((t.as_py() or "").encode())), None) is None for t in texts]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_batches(docs).mapInArrow(run, docs.schema)
     return docs

@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from spanfold.llm.common import as_bytes, folded_words, long_id, merged
+from spanfold.llm.common import as_bytes, folded_words, in_batches, long_id, merged
 
 #: Exact phrases in folded words, and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -170,4 +170,4 @@ def scan_licenses(docs: DataFrame, notices: Sequence[Notice] = NOTICES) -> DataF
 
     A single pass without any shuffle; the notices are a fixed list in the task closure.
     """
-    return docs.select(long_id(docs), as_bytes("text").alias("text")).mapInArrow(_scan(tuple(notices)), _SCHEMA)
+    return in_batches(docs.select(long_id(docs), as_bytes("text").alias("text"))).mapInArrow(_scan(tuple(notices)), _SCHEMA)

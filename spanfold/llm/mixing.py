@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import as_bytes, checkpoint, long_id, renamed, restored, spaced_words
+from spanfold.llm.common import as_bytes, checkpoint, in_batches, long_id, renamed, restored, spaced_words
 
 #: The flow is solved on the driver; more patterns than this are refused rather than collected.
 MAX_PATTERNS = 50_000
@@ -168,7 +168,7 @@ def measure(docs: DataFrame, members: F.Column) -> DataFrame:
         F.array_sort(F.array_distinct(F.coalesce(members, F.array(F.lit(None).cast("string"))))).alias("members"),
         as_bytes("text").alias("text"),
     )
-    return picked.mapInArrow(_sizes, "doc_id long, name string, members array<string>, size long")
+    return in_batches(picked).mapInArrow(_sizes, "doc_id long, name string, members array<string>, size long")
 
 
 @dataclass(frozen=True)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import long_id
+from spanfold.llm.common import in_batches, long_id
 
 ROW = 4_096
 #: A task packs at most this many tokens at a time, which bounds its memory.
@@ -172,7 +172,7 @@ def pack_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, row: int = ROW, e
     is shuffled and memory is bounded; at most one row of a block is badly filled.
     """
     picked = docs.select(long_id(docs), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(_pack(_encoder(vocabulary), row, end, block), SCHEMA)
+    return in_batches(picked).mapInArrow(_pack(_encoder(vocabulary), row, end, block), SCHEMA)
 
 
 def _encoder(vocabulary: str) -> Callable[[], Encoder]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanfold.llm.common import as_bytes, long_id, spaced_words
+from spanfold.llm.common import as_bytes, in_batches, long_id, spaced_words
 
 #: The threshold's place on the 0..1 scale.
 THRESHOLD = 0.7
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labelled)  # a top-k: its rows are bounded
     texts = docs.select(long_id(docs), as_bytes("text").alias("text"))
     chosen = texts.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = chosen.select("label", "text").mapInArrow(_vectors, "label int, x array<double>").collect()
+    rows = in_batches(chosen.select("label", "text")).mapInArrow(_vectors, "label int, x array<double>").collect()
     x = np.array([r.x for r in rows], dtype=np.float64).reshape(-1, N_FEATURES)
     order = np.lexsort(x.T) if len(x) else []  # row order must not matter
     return fit_pairs(x[order], np.array([r.label for r in rows], dtype=int)[order])
@@ -160,7 +160,7 @@ def score(docs: DataFrame, ranking: Ranking, keep: list[str]) -> DataFrame:
     names = [f"_k{i}" for i in range(len(keep))]  # so no column of the input can clash
     picked = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)], as_bytes("text").alias("_text"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    found = picked.mapInArrow(_score(ranking), f"{kinds}, score double, predicted int")
+    found = in_batches(picked).mapInArrow(_score(ranking), f"{kinds}, score double, predicted int")
     return found.select(*[F.col(n).alias(c) for c, n in zip(keep, names)], "score", "predicted")
 
 
@@ -174,7 +174,7 @@ def keep_accepted(docs: DataFrame, ranking: Ranking) -> DataFrame:
             yield batch.filter(pa.array(ranking.scores(x) >= THRESHOLD))
 
     docs_names = list(docs.columns)
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(column: str = "doc_id") -> F.Column:

@@ -16,6 +16,11 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2_licenses that SQL can express."""
+    return op2_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("spans", "items")
@@ -56,4 +61,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing, "op2_licenses": op2_licenses, "op3_decontamination": op3_decontamination, "op4_chat": op4_chat, "op5_divergence": op5_divergence,
     "op6_packing": op6_packing, "op7_quality": op7_quality, "op8_lines": op8_lines, "op9_simhash": op9_simhash, "op10_secrets": op10_secrets,
+    "licenses_base": licenses_base,
 }

@@ -247,6 +247,17 @@ def test_one_row_of_each_component_stays(spark):
     assert kept == sorted([(None, t) for t in others] + [(3, x), (7, y)], key=repr)
 
 
+def test_the_kept_rows_keep_clashing_columns(spark, clashing, docs, empty):
+    more = clashing.withColumns({c: F.lit(4) for c in ("_place", "_key", "group", "copies", "kept_id", "kept_key", "_c0", "_row")})
+    kept = simhash.keep_one(more)
+    assert kept.columns == more.columns and kept.where("_place <> 4 or `group` <> 4 or _c0 <> 4 or copies <> 4 or _row <> 4").count() == 0
+    assert sorted(map(repr, kept.select(*docs.columns).collect())) == sorted(map(repr, simhash.keep_one(docs).collect()))
+    assert simhash.keep_one(empty).count() == 0
+    extreme = [(-(2**63), "a b c d"), (2**63 - 1, "a b c d"), (None, "e f g h i j"), (-1, "e f g h i j")]
+    found = simhash.keep_one(spark.createDataFrame(extreme, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {-(2**63), -1} and len(found) == 2
+
+
 SAID = "</s>[INST] ok [/INST]"
 
 

@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from spanfold.llm import contamination, divergence, licenses, secrets_scan
 
@@ -52,6 +54,23 @@ def test_contamination(spark, docs, rows, table_bytes):
     assert clean == sorted((r[0] for r in plain_contamination(rows, items) if not r[5]), key=repr)
 
 
+def test_contamination_with_clashing_columns_and_long_texts(spark, docs, clashing, rows):
+    items = [(1, " ".join(rows[49][1].split()[5:40]), 3, 4)]
+    bench = spark.createDataFrame(items, "item_id long, text string, doc_id int, spans int")
+    assert by_id(contamination.find_contamination(clashing, bench)) == by_id(contamination.find_contamination(docs, bench.select("item_id", "text")))
+    clean = contamination.drop_contaminated(clashing, bench)
+    assert clean.columns == clashing.columns and by_id(clean.select(*docs.columns)) == by_id(contamination.drop_contaminated(docs, bench))
+    long = spark.createDataFrame([(1, ("filler " * 100_000) + items[0][1])], "doc_id long, text string")
+    assert contamination.find_contamination(long, bench).first().n_hit == 35
+
+
+def test_a_benchmark_in_many_tables(spark, docs, rows):
+    items = [(i, " ".join(rows[49][1].split()[20 * i : 20 * i + 12])) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = contamination.find_contamination(docs, bench, table_bytes=400)  # more tables than are held at once
+    assert by_id(found.drop("spans", "items")) == plain_contamination(rows, items)
+
+
 def test_contamination_of_empty_tables(spark, docs, empty):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination.find_contamination(empty, none).count() == 0
@@ -194,6 +213,30 @@ def test_counts_of_divergence(docs, rows, empty, clashing):
     assert by_id(divergence.judge(clashing)) == by_id(divergence.judge(docs))
 
 
+def test_references_are_those_of_accepted_documents(spark):
+    """The fixed tables are what accepted labelled documents that aren't held out give."""
+    from spanfold.llm import quality, references
+
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    found = divergence.fit_shares(docs, labels.where("quality = 1").where(~quality.held_out())).collect()
+    assert {r.lang: r.class_shares for r in found} == {k: v for k, v in references.CLASS_SHARES.items() if k != "-"}
+    assert {r.lang: r.word_shares for r in found} == references.WORD_SHARES
+    judged = divergence.judge(docs).join(labels, "doc_id").where(quality.held_out()).where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r.quality: r.kept for r in judged}
+    assert kept[1] >= 0.99 and kept[0] <= 0.15
+
+
+def test_repeated_windows_of_every_shape(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefgh"[:k]) for _ in range(n)) for k in (1, 2, 4, 8) for n in (0, 1, 2, 3, 4, 7, 50, 700)]
+    for i, r in enumerate(divergence.measure(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).orderBy("doc_id").collect()):
+        words = texts[i].split()
+        grams = [tuple(words[j : j + 3]) for j in range(len(words) - 2)]
+        twice = {g for g, n in Counter(grams).items() if n > 1}
+        assert r.n_repeat_words == len({j + k for j, g in enumerate(grams) if g in twice for k in range(3)})
+
+
 def test_distance_is_jensen_shannon(spark):
     row = spark.createDataFrame([([1, 0], [0, 1], [2, 2], [1, 1], [0, 0])], "a array<long>, b array<long>, c array<long>, d array<long>, e array<long>")
     near = row.select(divergence.distance("a", "b"), divergence.distance("c", "d"), divergence.distance("a", "d"), divergence.distance("a", "e")).first()
