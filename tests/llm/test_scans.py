@@ -213,18 +213,14 @@ def test_counts_of_divergence(docs, rows, empty, clashing):
     assert by_id(divergence.judge(clashing)) == by_id(divergence.judge(docs))
 
 
-def test_references_are_those_of_accepted_documents(spark):
-    """The fixed tables are what accepted labelled documents that aren't held out give."""
-    from spanfold.llm import quality, references
-
-    folder = "/root/testdata/sf0.1"
-    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
-    found = divergence.fit_shares(docs, labels.where("quality = 1").where(~quality.held_out())).collect()
-    assert {r.lang: r.class_shares for r in found} == {k: v for k, v in references.CLASS_SHARES.items() if k != "-"}
-    assert {r.lang: r.word_shares for r in found} == references.WORD_SHARES
-    judged = divergence.judge(docs).join(labels, "doc_id").where(quality.held_out()).where("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
-    kept = {r.quality: r.kept for r in judged}
-    assert kept[1] >= 0.99 and kept[0] <= 0.15
+def test_shares_of_accepted_documents(spark):
+    text = "The river and THE stone, of 12 winds. " * 7
+    docs = spark.createDataFrame([(1, text, "en"), (2, text, "en"), (3, "junk # " * 60, "en"), (4, "few words", "en")], "doc_id long, text string, lang string")
+    row = divergence.fit_shares(docs, docs.where("doc_id <> 3").select("doc_id")).first()
+    n = len(text)
+    wanted = [sum(c.isupper() for c in text), sum(c.isdigit() for c in text), text.count(" "), sum(c in ",." for c in text), 0, 0, sum(c.islower() for c in text)]
+    assert row.class_shares == [int(10_000 * x / n + 0.5) for x in wanted]
+    assert row.word_shares[:4] == [5000, 2500, 1250, 1250] and sum(row.word_shares) == 10_000
 
 
 def test_repeated_windows_of_every_shape(spark):
