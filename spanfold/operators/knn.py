@@ -28,6 +28,10 @@ LEAF = 256
 SAMPLE = 131_072
 _LEAST_SAMPLED = 16
 _CELLS = 4_000_000
+#: Queries and references that are compared in one cell of the brute grid at most, but for the hash's unevenness.
+CELL = 131_072, 262_144
+#: Queries and references whose distances are held at once there.
+_TILE = 256, 4_096
 
 
 def squared_distance(left: str, right: str, columns: list[str]) -> Column:
@@ -142,8 +146,8 @@ class BoxTree:
                 yield int(self.boxes[at]), np.array([row])
 
 
-def _array(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
-    return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]).astype(np.int64)
+def _array(batch: pa.RecordBatch | pa.Table, columns: list[str]) -> np.ndarray:
+    return np.column_stack([np.asarray(batch.column(c)) for c in columns]).astype(np.int64)
 
 
 def _add_box(shared, columns: list[str]):
@@ -203,16 +207,70 @@ def _nearest(shared, k: int, columns: list[str]):
     return run
 
 
+def _compared(k: int, columns: list[str]):
+    """The k first references of each query of one cell of the grid; every pair is compared, a tile at a time."""
+
+    def run(asked: pa.Table, refs: pa.Table) -> pa.Table:
+        refs = refs.sort_by("ref_idx")
+        index, labels = (refs.column(c).to_numpy() for c in ("ref_idx", "label"))
+        points, ids = _array(refs, columns).astype(np.float64), asked.column("query_id")
+        # One product gives a distance less the query's own square; sums stay below 2**53, so all is exact.
+        sides = np.vstack([-2 * points.T, (points * points).sum(1)])
+        rows, found, far = [], [], []
+        for at in range(0, len(ids) if len(index) else 0, _TILE[0]):
+            some = _array(asked.slice(at, _TILE[0]), columns).astype(np.float64)
+            own, some = (some * some).sum(1), np.column_stack([some, np.ones(len(some))])
+            limit = np.full(len(some), np.inf)
+            row, ref, dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            for start in range(0, len(index), _TILE[1]):
+                tile = some @ sides[:, start : start + _TILE[1]]
+                if start == 0 and tile.shape[1] >= k:
+                    limit = np.partition(tile, k - 1, axis=1)[:, k - 1]
+                near = np.flatnonzero(tile <= limit[:, None])  # equality counts, as a tie may win by its index
+                r, c = np.divmod(near, tile.shape[1])
+                row, ref, dist = np.concatenate([row, r]), np.concatenate([ref, start + c]), np.concatenate([dist, tile.ravel()[near]])
+                if len(row) > 4 * k * len(some) or start + _TILE[1] >= len(index):
+                    order = np.lexsort((ref, dist, row))
+                    row, ref, dist = row[order], ref[order], dist[order]
+                    rank = np.arange(len(row)) - np.searchsorted(row, row)
+                    full = rank == k - 1
+                    limit[row[full]] = dist[full]
+                    row, ref, dist = (x[rank < k] for x in (row, ref, dist))
+            rows.append(at + row)
+            found.append(ref)
+            far.append(dist + own[row])
+        rows, found, far = (np.concatenate([np.empty(0, kind), *x]) for x, kind in ((rows, np.int64), (found, np.int64), (far, np.float64)))
+        return pa.table({"query_id": ids.take(pa.array(rows)), "ref_idx": index[found], "label": labels[found].astype(np.int32), "dist": far.astype(np.int64)})
+
+    return run
+
+
 class Brute:
-    """Compares every pair; the rule for the others, for small tables only."""
+    """Compares every pair of a grid of queries and references; the rule for the others.
+
+    A cell of the grid has bounded parts of both and gives k candidates a query, so neither side
+    is broadcast and no pair becomes a row.
+    """
 
     def __init__(self, refs: DataFrame, k: int, columns: list[str]):
-        self.refs, self.k, self.columns = refs, k, columns
+        self.refs, self.k, self.columns = refs.select("ref_idx", "label", *columns), k, columns
+        n, cores = refs.count(), refs.sparkSession.sparkContext.defaultParallelism
+        self.parts = max(1, -(-n // CELL[1]), min(4 * cores, n // _TILE[1]))
 
     def neighbours(self, queries: DataFrame) -> DataFrame:
-        pairs = queries.alias("q").crossJoin(F.broadcast(self.refs).alias("r"))
-        pairs = pairs.select("q.query_id", "r.ref_idx", "r.label", squared_distance("q", "r", self.columns).alias("dist"))
-        return _ranked(pairs, self.k).select("query_id", "rank", "ref_idx", "dist", "label")
+        kind, asked = dict(queries.dtypes)["query_id"], queries.select("query_id", *self.columns)
+        groups = max(1, -(-asked.count() // CELL[0]))
+
+        def dealt(side: DataFrame, key: str, own: str, n: int, other: str, others: int) -> DataFrame:
+            """Each row goes to one place by its key, and to all places of the other side."""
+            rows = side.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+            return rows.repartition(groups * self.parts, "_group", "_part")
+
+        left = dealt(asked, "query_id", "_group", groups, "_part", self.parts)
+        right = dealt(self.refs, "ref_idx", "_part", self.parts, "_group", groups)
+        cells = left.groupBy("_group", "_part").cogroup(right.groupBy("_group", "_part"))
+        near = cells.applyInArrow(_compared(self.k, self.columns), f"query_id {kind}, ref_idx long, label int, dist long")
+        return _ranked(near, self.k).select("query_id", "rank", "ref_idx", "dist", "label")
 
     def close(self) -> None:
         """Nothing is held."""

@@ -241,6 +241,21 @@ def clustered(spark, n, m, seed=3):
     return refs, queries
 
 
+def test_brute_compares_every_pair_without_a_row_for_each(spark, monkeypatch):
+    refs, queries = clustered(spark, 1500, 60)
+    wanted = []
+    points = [(r.ref_idx, r.label, [r[q] for q in QUANTISED]) for r in refs.collect()]
+    for asked in queries.collect():
+        near = sorted((sum((asked[q] - x) ** 2 for q, x in zip(QUANTISED, p)), i, label) for i, label, p in points)[:5]
+        wanted += [(asked.query_id, rank, i, dist, label) for rank, (dist, i, label) in enumerate(near, 1)]
+    for cell, tile in ((knn.CELL, knn._TILE), ((20, 400), (8, 64)), ((20, 400), (8, 3))):
+        monkeypatch.setattr(knn, "CELL", cell)
+        monkeypatch.setattr(knn, "_TILE", tile)
+        found = knn.neighbours(queries, refs, strategy="brute")
+        assert sorted(map(tuple, found.collect())) == sorted(wanted)
+        assert not any(node in found._jdf.queryExecution().toString() for node in ("CartesianProduct", "NestedLoop", "Broadcast"))
+
+
 def test_boxes_prune_and_no_box_is_hot(spark):
     refs, queries = clustered(spark, 6000, 60)
     index = knn.Boxes(refs, 5, QUANTISED, leaf=32)
