@@ -4,8 +4,8 @@ Sets are compared only where they can be similar: in one fixed order of all shin
 Jaccard similarity t share k of their first n - ceil(t n) + k shingles, so no pair is lost.  k grows
 with the set: a text that only shares a passage with others has fewer than k of its first shingles
 in any other text and goes no further.  Shingles that a sample shows to be common come last in the
-order.  Star-shaped candidates under each shared shingle are verified first; what their links
-leave apart is paired in full.
+order.  Star-shaped candidates under each shared shingle are verified first; what their links leave
+apart is paired where places in the order and sizes allow.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ SLICE = 256
 STAR_ROUNDS = 2
 #: Two sets must share n // EXTRA + 1 of their first shingles, n being the size of the smaller one.
 EXTRA = 20
+#: What the last round's pairs must share more than one of: n // MORE, at most n // EXTRA.
+MORE = 50
 #: Rows under a common shingle are looked at in so many parts.
 PARTS = 64
 SEED = 42
@@ -90,7 +92,7 @@ def _prefixes(shared):
         given: set[int] = set()  # a text that stands often gives its prefix once a task
         for batch in batches:
             for at in range(0, len(batch), SLICE):
-                keys, often, names, sizes = [np.empty(0, np.uint64)], [np.empty(0, bool)], [], []
+                keys, often, names, sizes, places = [np.empty(0, np.uint64)], [np.empty(0, bool)], [], [], []
                 for x in batch.column("text")[at : at + SLICE]:
                     found = shingles(x.as_py())
                     if (name := _name(found)) in given:
@@ -100,10 +102,11 @@ def _prefixes(shared):
                     for to, part in zip((keys, often), prefix(found, common, rank)):
                         to.append(part)
                     names.append(np.full(len(keys[-1]), name, np.int64))
-                    sizes.append(np.full(len(keys[-1]), len(found), np.int64))
+                    sizes.append(np.full(len(keys[-1]), len(found), np.int32))
+                    places.append(np.arange(len(keys[-1]), dtype=np.int32))
                 if names:
-                    columns = [np.concatenate(keys).view(np.int64), np.concatenate(names), np.concatenate(sizes)]
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array(np.concatenate(often))], names=["key", "node", "size", "often"])
+                    columns = [np.concatenate(keys).view(np.int64), *map(np.concatenate, (places, names, sizes, often))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "at", "node", "size", "often"])  # what differs from row to row comes first and compresses better
 
     return run
 
@@ -132,10 +135,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
     return checkpoint(both.where(sure).select("a", "b"))
 
 
-#: What two sets can have in common besides the first shingles they share: the rest of the one whose first shingles end sooner.
-_REST = "((4 * {0} + 4) div 5 - {0} div {1} - 1)"
-_REACH = f"shared + greatest({_REST.format('a_size', EXTRA)}, {_REST.format('b_size', EXTRA)}) >= (4 * (a_size + b_size) + 8) div 9"
 _FIT = f"least(a_size, b_size) * {LEAST[1]} >= greatest(a_size, b_size) * {LEAST[0]}"
+#: What two similar sets have in common at least: t / (1 + t) of both sizes.
+_NEEDED = f"({LEAST[0]} * (a_size + b_size) + {sum(LEAST) - 1}) div {sum(LEAST)}"
+#: Sets that have m shingles in common share 1 + e of them among the first n - m + 1 + e of either; i and j are places there.
+_EARLY = f"a_size - i + {{0}} >= {_NEEDED} and b_size - j + {{0}} >= {_NEEDED}"
 
 
 def _near_names(links: DataFrame) -> DataFrame:
@@ -146,6 +150,20 @@ def _near_names(links: DataFrame) -> DataFrame:
     return checkpoint(beside.join(least.withColumnRenamed("group", "own"), F.col("a") == F.col("node")).select("node", F.least("group", "own").alias("group")))
 
 
+def _apart(left: DataFrame) -> DataFrame:
+    """x, a_size, y, b_size of the sets in different groups that may be similar; y is the smaller one.
+
+    What they have in common is at least 4/5 of the larger and 8/9 of the smaller set, so the
+    smaller one is found under its first ninth and a fiftieth more only.
+    """
+    share = lambda p, q: f"at <= size - ({p} * size + {q - 1}) div {q} + size div {MORE}"
+    one = left.where(share(LEAST[0], LEAST[1])).select("key", F.col("node").alias("x"), F.col("size").alias("a_size"), F.col("at").alias("i"), F.col("group").alias("g"))
+    two = left.where(share(2 * LEAST[0], sum(LEAST))).select("key", F.col("node").alias("y"), F.col("size").alias("b_size"), F.col("at").alias("j"), F.col("group").alias("h"))
+    pairs = one.join(two, "key").where("g <> h and (a_size > b_size or a_size = b_size and x > y)").where(_FIT).where(_EARLY.format(f"b_size div {MORE}"))
+    counted = pairs.groupBy("x", "a_size", "y", "b_size").agg(F.count("*").alias("shared"))
+    return counted.where(f"shared > b_size div {MORE}").drop("shared")  # every key that such a pair shares is here
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, copies, group of the first row of each distinct set of shingles in ``docs``.
 
@@ -156,30 +174,31 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     rows = checkpoint(in_batches(texts).mapInArrow(_nodes, "doc_id long, text_key long, node long"))
     reps = checkpoint(first_rows(rows, "node"))
     common = docs.sparkSession.sparkContext.broadcast(_common(texts, rows.count()))
-    found = in_batches(texts.select("text")).mapInArrow(_prefixes(common), "key long, node long, size long, often boolean")
+    found = in_batches(texts.select("text")).mapInArrow(_prefixes(common), "key long, at int, node long, size int, often boolean")
     # Under a common shingle there may be any number of rows: they stay, and no task sees them all.
     part = F.when(F.col("often"), F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(0)
     by_key = Window.partitionBy("key", "part")
     found = found.withColumn("part", part).withColumn("lo", F.min("node").over(by_key)).withColumn("hi", F.max("node").over(by_key))
-    keys = checkpoint(found.where("often or lo <> hi").select("key", "node", "size").distinct())
+    keys = checkpoint(found.where("often or lo <> hi").select("key", "at", "node", "size").distinct())
     # A partner may be smaller by a fifth, and then its own first shingles set how many are shared.
     enough = keys.groupBy("node", "size").agg(F.count("*").alias("shared")).where(f"shared > ((4 * size + 4) div 5) div {EXTRA}").select("node")
     keys = checkpoint(keys.join(enough, "node", "left_semi"))
     links, left = None, keys
     for number in range(STAR_ROUNDS + 1):
         if number < STAR_ROUNDS:
-            first = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(number)).alias("place"), "node", "size")).alias("first"))
-            pairs = left.join(first, "key").select(F.col("node").alias("x"), F.col("size").alias("a_size"), F.col("first.node").alias("y"), F.col("first.size").alias("b_size"))
+            # First the set with the fewest rarer shingles, as what others were made from has; then any.
+            place = F.struct(F.col("at") if number == 0 else F.lit(0), F.xxhash64("node", F.lit(number)))
+            first = left.groupBy("key").agg(F.min(F.struct(place.alias("place"), "node", "size", "at")).alias("first"))
+            pairs = left.join(first, "key").select(
+                F.col("node").alias("x"), F.col("size").alias("a_size"), F.col("at").alias("i"), F.col("first.node").alias("y"), F.col("first.size").alias("b_size"), F.col("first.at").alias("j")
+            ).where(_EARLY.format(0))
         else:
-            one = left.select("key", F.col("node").alias("x"), F.col("size").alias("a_size"), F.col("group").alias("g"))
-            two = left.select("key", F.col("node").alias("y"), F.col("size").alias("b_size"), F.col("group").alias("h"))
-            pairs = one.join(two, "key").where("g < h").where(_FIT).groupBy("x", "a_size", "y", "b_size").agg(F.count("*").alias("shared"))
-            pairs = pairs.where(_REACH)  # every key that such a pair shares is here
-        pairs = pairs.where("x <> y").where(_FIT).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        found = _verified(pairs, texts, reps)
+            pairs = _apart(left)
+        pairs = pairs.where(_FIT).select("x", "y")
+        found = _verified(pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), texts, reps)
         links = found if links is None else links.unionByName(found)
         if number < STAR_ROUNDS:
-            left = keys.join(_near_names(links), "node", "left").select("key", "node", "size", F.coalesce("group", "node").alias("group"))
+            left = keys.join(_near_names(links), "node", "left").select("key", "at", "node", "size", F.coalesce("group", "node").alias("group"))
             apart = left.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
             left = checkpoint(left.join(apart, "key", "left_semi"))
     return reps.join(components(links), "node", "left").select("doc_id", "text_key", "copies", F.coalesce("root", "node").alias("group"))

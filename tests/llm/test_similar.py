@@ -6,6 +6,7 @@ import re
 import corpus_pipeline
 from helpers import DATA
 
+from spanfold.llm import similar
 from spanfold.llm.common import table
 
 
@@ -62,3 +63,13 @@ def test_planted_near_copies(spark):
 def test_documents(spark):
     rows = [(r.doc_id, r.text) for r in table(spark, DATA, "documents").collect()]
     assert kept(spark, rows) == plain_kept(rows)
+
+
+def test_far_copies_of_one_text_are_not_all_paired(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, edited(rng, base, 6)) for i in range(300)]  # some 0.5 similar to each other, under the same common shingles
+    made, apart = [], similar._apart
+    monkeypatch.setattr(similar, "_apart", lambda left: made.append(apart(left).count()) or apart(left))
+    assert kept(spark, rows) == plain_kept(rows)
+    assert made[0] < 300
