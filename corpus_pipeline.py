@@ -31,6 +31,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
+    Candidates come from SimHash fingerprints in vantage-point shards and from shared shingles; all are verified.
     The row of least id stays, null last; null and empty texts are one group; ids may be null or shared.
     """
     return similar.keep_one(docs)

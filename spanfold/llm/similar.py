@@ -4,8 +4,9 @@ Sets are compared only where they can be similar: in one fixed order of all shin
 Jaccard similarity t share k of their first n - ceil(t n) + k shingles, so no pair is lost.  k grows
 with the set: a text that only shares a passage with others has fewer than k of its first shingles
 in any other text and goes no further.  Shingles that a sample shows to be common come last in the
-order.  Star-shaped candidates under each shared shingle are verified first; what their links leave
-apart is paired where places in the order and sizes allow.
+order.  SimHash fingerprints linked through vantage-point shards and star-shaped candidates under
+each shared shingle are verified first; what their links leave apart is paired where places in the
+order and sizes allow.  Components of the links are found by alternating stars.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanfold.llm.common import as_bytes, checkpoint, in_batches, long_id, spaced_words
-from spanfold.llm.simhash import FEW, components, first_of_each, first_rows
+from spanfold.llm.simhash import FEW, components, first_of_each, first_rows, link_fingerprints
 
 WORDS = 5
 #: Least similarity of near copies, as a fraction.
@@ -29,6 +30,8 @@ SAMPLE = 4_096
 COMMON = 200_000
 #: Texts whose shingles a worker holds at once.
 SLICE = 256
+#: Bits by which fingerprints of candidates may differ.
+RADIUS = 3
 STAR_ROUNDS = 2
 #: Two sets must share n // EXTRA + 1 of their first shingles, n being the size of the smaller one.
 EXTRA = 20
@@ -54,10 +57,17 @@ def _name(found: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(found.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """Signed 64-bit SimHash of a set of shingles, each counted once; 0 for the empty one."""
+    ones = np.unpackbits(found.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(found)).tobytes(), "big", signed=True)
+
+
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        names = pa.array([_name(shingles(x.as_py())) for x in batch.column("text")], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), names], names=["doc_id", "text_key", "node"])
+        found = [(_name(s), fingerprint(s)) for s in (shingles(x.as_py()) for x in batch.column("text"))]
+        columns = [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *columns], names=["doc_id", "text_key", "node", "fp"])
 
 
 def _all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +152,14 @@ _NEEDED = f"({LEAST[0]} * (a_size + b_size) + {sum(LEAST) - 1}) div {sum(LEAST)}
 _EARLY = f"a_size - i + {{0}} >= {_NEEDED} and b_size - j + {{0}} >= {_NEEDED}"
 
 
+def _print_pairs(prints: DataFrame) -> DataFrame:
+    """(x, y): candidates whose fingerprints are equal or linked through the vantage-point shards; (node, fp) rows."""
+    first = checkpoint(prints.groupBy("fp").agg(F.min("node").alias("y")))
+    links = link_fingerprints(first.select("fp"), RADIUS)
+    ends = links.join(first.select(F.col("fp").alias("a"), F.col("y").alias("x")), "a").join(first.select(F.col("fp").alias("b"), "y"), "b")
+    return ends.select("x", "y").unionByName(prints.join(first, "fp").select(F.col("node").alias("x"), "y"))
+
+
 def _near_names(links: DataFrame) -> DataFrame:
     """(node, group): nodes of one group are connected; two hops only, so not all connected nodes are in one."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -171,7 +189,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     them.  Texts without a word are equal.
     """
     texts = docs.select(long_id(docs), F.xxhash64(as_bytes("text")).alias("text_key"), as_bytes("text").alias("text"))
-    rows = checkpoint(in_batches(texts).mapInArrow(_nodes, "doc_id long, text_key long, node long"))
+    rows = checkpoint(in_batches(texts).mapInArrow(_nodes, "doc_id long, text_key long, node long, fp long"))
     reps = checkpoint(first_rows(rows, "node"))
     common = docs.sparkSession.sparkContext.broadcast(_common(texts, rows.count()))
     found = in_batches(texts.select("text")).mapInArrow(_prefixes(common), "key long, at int, node long, size int, often boolean")
@@ -195,6 +213,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         else:
             pairs = _apart(left)
         pairs = pairs.where(_FIT).select("x", "y")
+        if number == 0:
+            pairs = pairs.unionByName(_print_pairs(checkpoint(rows.select("node", "fp").distinct())))
         found = _verified(pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), texts, reps)
         links = found if links is None else links.unionByName(found)
         if number < STAR_ROUNDS:

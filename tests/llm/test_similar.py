@@ -4,6 +4,7 @@ import random
 import re
 
 import corpus_pipeline
+import numpy as np
 from helpers import DATA
 
 from spanfold.llm import similar
@@ -65,6 +66,21 @@ def test_documents(spark):
     assert kept(spark, rows) == plain_kept(rows)
 
 
+def test_fingerprints_go_through_the_vantage_point_shards(spark, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(4000)]
+    rows = [(0, " ".join(base)), (1, edited(rng, base, 2)), (2, edited(rng, base, 3)), (3, " ".join(f"z{rng.randrange(10**6)}" for _ in range(4000)))]
+    prints = [similar.fingerprint(similar.shingles(t.encode())) & (1 << 64) - 1 for _, t in rows]
+    assert max((a ^ b).bit_count() for a in prints[:3] for b in prints[:3]) <= similar.RADIUS
+    asked, linked = [], similar.link_fingerprints
+    monkeypatch.setattr(similar, "link_fingerprints", lambda fps, radius: asked.append(sorted(r.fp & (1 << 64) - 1 for r in fps.collect())) or linked(fps, radius))
+    # Without any shingle to meet under, only the fingerprints' links are left.
+    monkeypatch.setattr(similar, "_prefixes", lambda shared: lambda batches: iter(()))
+    assert kept(spark, rows) == [(False, 0), (False, 3)]
+    assert asked == [sorted(set(prints))]
+    assert similar.fingerprint(np.empty(0, np.uint64)) == 0
+
+
 def test_far_copies_of_one_text_are_not_all_paired(spark, monkeypatch):
     rng = random.Random(11)
     base = [f"w{i}" for i in range(120)]
